@@ -60,8 +60,9 @@ class Scratch:
 
 
 def input_bytes(frame: DataFrame) -> int:
-    """What the optimiser holds for the size of a table; costs no job."""
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """What the optimiser holds for the size of the tables that a frame reads; costs no job."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def pieces_for(frame: DataFrame, each: int, least: int = 16) -> int:
