@@ -25,8 +25,15 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "report.n_lines", "report.n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_substrings": op2_substrings}
+    return {"op1_minhash": op1_minhash, "op2_substrings": op2_substrings, "op7_lines": op7_lines}
 
 
 def oracle_sql() -> dict[str, str]:

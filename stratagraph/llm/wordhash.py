@@ -52,7 +52,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _power(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
+    """At least the first n powers of the base."""
     global _powers
     if len(_powers) < n:
         size = 1 << max(10, (n - 1).bit_length())
@@ -119,7 +120,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
             lead = int(first[0])
             reach = np.diff(first, append=to - at)
             place = np.arange(lead, to - at) - np.repeat(first, reach)
-            term = value[lead:].astype(np.uint64) * _power(int(reach.max()) + 1)[place]
+            term = value[lead:].astype(np.uint64) * powers(int(reach.max()) + 1)[place]
             hashes.append(np.add.reduceat(term, first - lead))
             starts.append(first + at)
             ends.append(np.flatnonzero(last) + 1 + at)
