@@ -25,6 +25,25 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matrices import token_matrices
+
+    return token_matrices(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .counts import token_counts
+
+    out = token_counts(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -32,8 +51,22 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "report.n_lines", "report.n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    out = pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), with_ids=False)
+    return out.drop("ids").withColumn("length", F.col("length").cast("long")).withColumn("offset", F.col("offset").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_substrings": op2_substrings, "op7_lines": op7_lines}
+    return {
+        "op1_minhash": op1_minhash,
+        "op2_substrings": op2_substrings,
+        "op4_matrices": op4_matrices,
+        "op5_token_counts": op5_token_counts,
+        "op7_lines": op7_lines,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
