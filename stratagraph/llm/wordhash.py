@@ -151,6 +151,14 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out + np.uint64(size * _BASE & _MASK))
 
 
+def gram_at(h: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """What ``grams`` has at some starts only."""
+    out = np.zeros(len(start), np.uint64)
+    for i in range(size):
+        out += h[start + i] * np.uint64(pow(_GRAM, i, 1 << 64))
+    return mix(out + np.uint64(size * _BASE & _MASK))
+
+
 def inside_rows(first_word: np.ndarray, size: int) -> np.ndarray:
     """Starts of the runs of ``size`` words that lie in one row each."""
     counts = np.maximum(np.diff(first_word) - size + 1, 0)
