@@ -58,6 +58,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -93,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_matrices": op4_matrices,
         "op5_token_counts": op5_token_counts,
+        "op6_embeddings": op6_embeddings,
         "op7_lines": op7_lines,
         "op8_sharding": op8_sharding,
         "op9_toxicity": op9_toxicity,
