@@ -121,20 +121,20 @@ def _packed(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, stored: str | None = "<u4") -> DataFrame:
     """docs (doc_id long, text string, ...) -> (doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset), a row for each piece.
 
     ``tokenizer``: path of a tokenizers .json file. A document is its ids, without
     added special tokens, then ``end_id``; null and empty texts are that id alone. It
     is cut at multiples of ``capacity``, so no id is lost or doubled. Pieces of one
     sequence_id lie in it one after another from offset 0 and hold at most ``capacity`` ids;
-    the rest of the sequence is padding. ids: little-endian unsigned 32-bit, null
-    unless ``with_ids``. Rows that repeat a doc_id, or have none, are
+    the rest of the sequence is padding. ids: bytes of the numpy type
+    ``stored``, or null without one; ids_crc32 is of little-endian unsigned 32-bit ids in any case. Rows that repeat a doc_id, or have none, are
     documents of their own. An empty table gives an empty one; other columns are ignored.
     """
     groups = pieces_for(docs, GROUP_BYTES, 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(pieces(tokenizer, capacity, end_id, "<u4" if with_ids else None), _PIECE_DDL)
+    rows = rows.mapInArrow(pieces(tokenizer, capacity, end_id, stored), _PIECE_DDL)
     rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
     ddl = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset int"
     return rows.groupBy("pack_group").applyInArrow(_packed(capacity), ddl)

@@ -88,7 +88,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    out = pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), with_ids=False)
+    out = pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), stored=None)
     return out.drop("ids").withColumn("length", F.col("length").cast("long")).withColumn("offset", F.col("offset").cast("long"))
 
 
