@@ -8,14 +8,14 @@
    sketches that share ``least_shared`` values must meet in such a list
    (prefix filter), so a passage that thousands of documents quote makes no
    long list. At the threshold fewer shared values have a probability below ``MISS``.
-3. A list is not expanded into pairs: all members meet one pivot, then links
-   that hold are contracted to components, and only lists with members in
-   several components go on with further pivots (members of the rarest
-   components first, four times as many each round). A pivot that met
-   all members retires, so this ends, with every pair of a list either
-   compared or in one component.
-4. Each pair passes the union-sketch estimate and is then verified by the exact
-   Jaccard value of the full sets.
+3. A list is not expanded into pairs. All members of a list meet its least member
+   (short lists: more of them), and links that hold are contracted to
+   components. Lists that still have members in several components form
+   clusters; the members of a cluster outside its largest component meet all
+   others in blocks, one pair of blocks a task, which gives an edge per
+   linked document, never the pairs.
+4. Pairs of step 3's first half pass the union-sketch estimate; all links are
+   verified by the exact Jaccard value of the full sets.
 
 Texts cross the network once, and only sets of classes in lists are written.
 """
@@ -23,7 +23,6 @@ Texts cross the network once, and only sets of classes in lists are written.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -38,8 +37,12 @@ from .scratch import Scratch
 SKETCH = 32
 #: Probability with which a pair right at the threshold may share fewer sketch values than asked for.
 MISS = 1e-6
-#: Lists of m members give SHORT / m pivots at once, so those of 8 are compared whole in one round.
-SHORT = 64
+#: Lists of m members give SHORT / m pivots, so those of 4 are compared whole at once.
+SHORT = 16
+#: Classes, and shingles, of one block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Shingles that one product of a block counts.
+COLUMNS = 4096
 #: Members of a pivot that one join key takes.
 SALT_ROWS = 256
 
@@ -148,12 +151,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
     return other.join(own, ["a", "salt"]).where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _heads(members: DataFrame, most: int) -> DataFrame:
-    """(v, a, la, na): up to ``most`` members of each list, of its smallest components first; of a list of m up to ``SHORT`` / m. Limited map-side too."""
-    order = Window.partitionBy("v").orderBy("size", "c")
-    first = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(most, SHORT // 2))
-    first = first.where(F.col("rank") <= F.greatest(F.lit(most), F.lit(SHORT) / F.col("m")))
-    return first.select("v", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+def _heads(members: DataFrame) -> DataFrame:
+    """(v, a, na): the least member of each list; of a list of m up to ``SHORT`` / m. Limited map-side too."""
+    first = members.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("c"))).where(F.col("rank") <= SHORT // 2)
+    first = first.where(F.col("rank") <= F.greatest(F.lit(1), F.lit(SHORT) / F.col("m")))
+    return first.select("v", F.col("c").alias("a"), F.col("n").alias("na"))
+
+
+def _blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """members (cluster, label, c, n) -> with (i, j): the pairs of blocks in which a class meets the others of its cluster."""
+    parts = members.groupBy("cluster", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    main = parts.groupBy("cluster").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"), F.sum("m").alias("all"), F.sum("s").alias("sum"), F.max(F.struct("m", -F.col("label"), "s")).alias("top"))
+    size = lambda m, s: F.ceil(F.greatest(m / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    main = main.select("cluster", "main", size(F.col("all") - F.col("top.m"), F.col("sum") - F.col("top.s")).alias("rest"), size(F.col("top.m"), F.col("top.s")).alias("core"))
+    rows = members.join(scratch.save(main, "clusters"), "cluster")
+    core = F.col("label") == F.col("main")
+    own = F.when(core, F.col("rest") + F.pmod(F.xxhash64("c"), F.col("core")).cast("int")).otherwise(F.pmod(F.xxhash64("c"), F.col("rest")).cast("int"))
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(core, F.col("rest")).otherwise(F.col("rest") + F.col("core")) - 1)))
+    return rows.select("cluster", "label", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _met(num: int, den: int):
+    """Links between one pair of blocks: for each linked class the least class that links reach there."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, i, j = (k.as_py() for k in key)
+        order = np.lexsort((np.asarray(table["c"]), np.asarray(table["block"])))
+        table = table.take(pa.array(order))
+        ids, label, block = (np.asarray(table[x]) for x in ("c", "label", "block"))
+        column = table["shingles"].combine_chunks()
+        size = np.diff(np.asarray(column.offsets))
+        row, value = np.repeat(np.arange(len(ids)), size), np.asarray(column.flatten())
+        known, place, times = np.unique(value, return_inverse=True, return_counts=True)
+        # columns for the shingles that at least two classes have
+        shared = np.cumsum(times > 1) - 1
+        keep = times[place] > 1
+        row, place = row[keep], shared[place[keep]]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        cut = int(np.searchsorted(block, j)) if i != j else 0
+        left, right = (slice(0, len(ids)), slice(0, len(ids))) if i == j else (slice(0, cut), slice(cut, len(ids)))
+        both = np.zeros((len(ids[left]), len(ids[right])), np.float32)
+        for at in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+            a, b = np.searchsorted(place, [at, at + COLUMNS])
+            has = np.zeros((len(ids), COLUMNS), np.float32)
+            has[row[a:b], place[a:b] - at] = 1
+            both += has[left] @ has[right].T
+        near = den * both >= num * (size[left][:, None] + size[right][None] - both)
+        near &= label[left][:, None] != label[right][None]
+        a, b = np.nonzero(near)
+        b = b + (0 if i == j else cut)
+        low = np.arange(len(ids))
+        while True:
+            new = low.copy()
+            np.minimum.at(new, a, low[b])
+            np.minimum.at(new, b, low[a])
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        on = np.flatnonzero(low != np.arange(len(ids)))
+        return pa.table([pa.array(ids[on]), pa.array(ids[low[on]])], names=["a", "b"])
+
+    return run
+
+
+def _marked(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of the lists that lie in several components, with their components."""
+    marked = lists.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").select("v", "c", "n", F.coalesce("component", "c").alias("label"))
+    live = marked.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("c").alias("least")).where("lo < hi").select("v", "least")
+    return scratch.save(marked.join(scratch.save(live, "live"), "v"), "open")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 100) -> DataFrame:
@@ -176,35 +243,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 1
     classes = named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("c"), F.first("sketch").alias("sketch"))
     classes = scratch.save(classes.withColumnRenamed("n_shingles", "n"), "classes")
     lists = _index(classes, scratch, num, den)
-    long = scratch.save(lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v"), "long")
-    wanted = lists.join(long, "v", "left_semi").select(F.col("c").alias("doc_id")).distinct()
+    long = scratch.save(lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "long")
+    lists = scratch.save(lists.join(long, "v"), "met")
+    wanted = lists.select(F.col("c").alias("doc_id")).distinct()
     sets = scratch.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
 
-    met: list[DataFrame] = []
-    labels, pivots = None, 1
-    while True:
-        if labels is None:
-            marked = lists.withColumn("label", F.col("c")).withColumn("size", F.lit(1))
-        else:
-            own = labels.join(scratch.save(labels.groupBy("component").agg(F.count("*").alias("size")), "sizes"), "component")
-            marked = lists.join(own.withColumnRenamed("node", "c"), "c", "left")
-            marked = marked.select("v", "c", "n", F.coalesce("component", "c").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-        live = scratch.save(marked.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("v", "m"), "live")
-        if live.isEmpty():
-            break
-        lists = scratch.save(marked.join(live, "v"), "open")
-        heads = scratch.save(_heads(lists, pivots), "pivots")
-        pairs = lists.join(heads, "v").where(f"label <> la and c <> a and {den} * least(n, na) >= {num} * greatest(n, na)")
-        pairs = scratch.save(pairs.select("a", F.col("c").alias("b")).distinct(), "pairs")
-        close = scratch.save(_estimated(pairs, classes, num, den), "close")
-        met.append(scratch.save(_verified(close, sets, scratch, num, den), "links"))
-        labels = scratch.save(components(scratch, reduce(DataFrame.unionByName, met)), "labels")
-        lists = lists.select("v", "c", "n").join(heads.select("v", F.col("a").alias("c")), ["v", "c"], "left_anti")
-        lists = scratch.save(lists, "rest")
-        pivots *= 4
+    heads = scratch.save(_heads(lists), "pivots")
+    pairs = lists.join(heads, "v").where(f"c <> a and {den} * least(n, na) >= {num} * greatest(n, na)")
+    pairs = pairs.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+    close = scratch.save(_estimated(pairs, classes, num, den), "close")
+    links = scratch.save(_verified(close, sets, scratch, num, den), "links")
+    labels = scratch.save(components(scratch, links), "labels")
+
+    # what a pivot met is settled, so it leaves its lists
+    rest = lists.select("v", "c", "n").join(heads.select("v", F.col("a").alias("c")), ["v", "c"], "left_anti")
+    rest = _marked(rest, labels, scratch)
+    if not rest.isEmpty():
+        clusters = scratch.save(components(scratch, rest.select(F.col("c").alias("a"), F.col("least").alias("b"))), "cluster-labels")
+        members = rest.select("c", "n", "label").distinct().join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
+        dealt = _blocks(scratch.save(members, "members"), scratch).join(sets.withColumnRenamed("doc_id", "c"), "c")
+        more = scratch.save(dealt.groupBy("cluster", "i", "j").applyInArrow(_met(num, den), "a long, b long"), "more")
+        labels = scratch.save(components(scratch, links.unionByName(more)), "labels")
     keys = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "c")
-    if labels is not None:
-        keys = keys.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
+    keys = keys.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
     keys = scratch.save(keys, "keys")
     out = base.drop("sketch").join(keys, ["n_shingles", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
