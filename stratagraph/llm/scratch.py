@@ -66,10 +66,8 @@ def input_bytes(frame: DataFrame) -> int:
 
 
 def pieces_for(frame: DataFrame, each: int, least: int = 16) -> int:
-    """How many groups of about ``each`` input bytes a table gives."""
-    return max(least, min(1 << 20, input_bytes(frame) // each + 1))
-
-
-def bounded(frame: DataFrame, most: int) -> bool:
-    """Whether a table has ``most`` rows at most; reads no more than it must."""
-    return frame.select(F.lit(1)).limit(most + 1).count() <= most
+    """How many groups of about ``each`` input bytes a table with a ``text`` gives; texts are summed where no size is known."""
+    size = input_bytes(frame)
+    if size >= 1 << 55:
+        size = frame.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(least, min(1 << 20, size // each + 1))
