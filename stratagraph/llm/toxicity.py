@@ -2,7 +2,7 @@
 
 score = sigmoid(w0 + sum of w_i + sum over pairs of <v_i, v_j>) over the terms of
 a text, so that an insult near a group's name can weigh more than both alone.
-Terms are lower-cased words hashed into ``TERMS`` slots, each counted once a text;
+Terms are lower-cased words and beginnings of words, hashed into ``TERMS`` slots, each counted once a text;
 the ``CHOSEN`` slots that tell most about the label on the training rows have weights.
 
 The machine is fitted on the driver on ``TRAIN_ROWS`` labelled rows at most, chosen
@@ -24,10 +24,14 @@ from pyspark.sql import types as T
 from . import wordhash
 
 TERMS = 1 << 18
+#: Bytes of the beginnings of longer words that are terms too, so that a stem is known under any ending.
+PREFIXES = (4, 6)
 CHOSEN = 512
 TRAIN_ROWS = 8000
 #: Texts that a term must stand in to be chosen.
-LEAST_TEXTS = 5
+LEAST_TEXTS = 6
+#: Chi-square of a chosen term; far beyond what the best of ``TERMS`` slots reaches by chance.
+LEAST_CHI = 30.0
 FACTORS = 4
 
 
@@ -40,9 +44,8 @@ class Machine:
 
     def scores(self, text: pa.Array) -> np.ndarray:
         out = []
-        for rows, row, slot in terms(text):
+        for rows, row, slot in terms(text, self.column):
             place = self.column[slot]
-            row, place = row[place >= 0], place[place >= 0]
             linear = np.bincount(row, self.w[place], rows)
             pairs = np.zeros(rows)
             for k in range(self.v.shape[1]):
@@ -52,14 +55,27 @@ class Machine:
         return np.concatenate(out) if out else np.empty(0)
 
 
-def terms(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(rows, row, slot) of parts of a column: each distinct term slot of each row."""
+def terms(text: pa.Array, column: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(rows, row, slot) of parts of a column: each distinct term slot of each row, or those that have a place in ``column``."""
     data, offsets = wordhash.buffers(text)
     table = wordhash.alphanumeric_words()
+    shift = np.uint64(64 - TERMS.bit_length() + 1)
     for a, b in wordhash.slices(offsets):
-        h, _, _, first = wordhash.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
-        slot = (h >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64)
+        part = data[offsets[a] : offsets[b]]
+        h, start, end, first = wordhash.words(part, offsets[a : b + 1] - offsets[a], table)
         row = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(first))
+        rows, slots = [row], [(h >> shift).astype(np.int64)]
+        for n in PREFIXES:
+            long = np.flatnonzero(end - start > n)
+            at, lead = start[long], np.full(len(long), n, np.uint64)
+            for j in range(n):
+                lead = wordhash.mix(lead * np.uint64(257) + table[part[at + j]])
+            rows.append(row[long])
+            slots.append((lead >> shift).astype(np.int64))
+        row, slot = np.concatenate(rows), np.concatenate(slots)
+        if column is not None:
+            known = column[slot] >= 0
+            row, slot = row[known], slot[known]
         both = np.unique(row * TERMS + slot)
         yield b - a, both // TERMS, both % TERMS
 
@@ -68,13 +84,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(slots: list[np.ndarray], label: np.ndarray, steps: int = 250, rate: float = 0.05, ridge: float = 1e-3, seed: int = 7) -> Machine:
-    """Fit on rows given as distinct term slots; full-batch Adam on the log loss."""
+def _without_copies(slots: list[np.ndarray], label: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """One row of each group with the same label and the same two least hashes of uncommon terms: copies of a text would make all its words telling."""
+    common = np.bincount(np.concatenate(slots), minlength=TERMS) > max(20, len(slots) // 20)
+    seen, keep = set(), []
+    for i, own in enumerate(slots):
+        own = own[~common[own]]
+        key = (label[i], *np.sort(wordhash.mix(own.astype(np.uint64) + np.uint64(1)))[:2].tolist())
+        if len(own) < 8 or key not in seen:
+            keep.append(i)
+        seen.add(key)
+    return [slots[i] for i in keep], label[keep]
+
+
+def fit(slots: list[np.ndarray], label: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 1e-5, seed: int = 7) -> Machine:
+    """Fit on rows given as distinct term slots: log-odds weights, then full-batch Adam on the log loss."""
     column = np.full(TERMS, -1, np.int64)
     prior = float(np.clip(label.mean() if len(label) else 0.0, 1e-3, 1 - 1e-3))
     w0 = float(np.log(prior / (1 - prior)))
     if not len(label) or label.min() == label.max():
         return Machine(column, w0, np.zeros(0), np.zeros((0, FACTORS)))
+    slots, label = _without_copies(slots, label)
     flat = np.concatenate(slots)
     row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
     seen = np.bincount(flat, minlength=TERMS).astype(float)
@@ -85,13 +115,15 @@ def fit(slots: list[np.ndarray], label: np.ndarray, steps: int = 250, rate: floa
     spread = expected * (1 - n1 / n) * (1 - seen / n) + 1e-9
     told = np.where(seen >= LEAST_TEXTS, (bad - expected) ** 2 / spread, -1.0)
     best = np.argsort(-told, kind="stable")[:CHOSEN]
-    best = best[told[best] > 0]
+    best = best[told[best] >= LEAST_CHI]
     column[best] = np.arange(len(best))
     x = np.zeros((n, len(best)), np.float32)
     place = column[flat]
     x[row[place >= 0], place[place >= 0]] = 1
     random = np.random.default_rng(seed)
-    value = [np.array([w0], np.float32), np.zeros(len(best), np.float32), random.normal(0, 0.01, (len(best), FACTORS)).astype(np.float32)]
+    # starts from each term's own log-odds: telling terms mostly come several at a time, and each must also tell alone
+    odds = np.log((bad[best] + 0.5) / (n1 + 1)) - np.log((seen[best] - bad[best] + 3) / (n - n1 + 6))
+    value = [np.array([w0], np.float32), np.clip(odds, -4, 6).astype(np.float32), random.normal(0, 0.01, (len(best), FACTORS)).astype(np.float32)]
     first, second = [np.zeros_like(p) for p in value], [np.zeros_like(p) for p in value]
     for t in range(1, steps + 1):
         w, v = value[1], value[2]
