@@ -253,17 +253,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 1
     pairs = pairs.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
     close = scratch.save(_estimated(pairs, classes, num, den), "close")
     links = scratch.save(_verified(close, sets, scratch, num, den), "links")
-    labels = scratch.save(components(scratch, links), "labels")
+    # classes that share a pivot are connected; that is all the next step needs to know
+    label = F.col("a")
+    known = links.select(F.col("b").alias("node"), label.alias("component")).unionByName(links.select(F.col("a").alias("node"), label.alias("component")))
+    labels = scratch.save(known.groupBy("node").agg(F.min("component").alias("component")), "stars")
 
     # what a pivot met is settled, so it leaves its lists
     rest = lists.select("v", "c", "n").join(heads.select("v", F.col("a").alias("c")), ["v", "c"], "left_anti")
     rest = _marked(rest, labels, scratch)
-    if not rest.isEmpty():
+    if rest.isEmpty():
+        more = None
+    else:
         clusters = scratch.save(components(scratch, rest.select(F.col("c").alias("a"), F.col("least").alias("b"))), "cluster-labels")
         members = rest.select("c", "n", "label").distinct().join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
         dealt = _blocks(scratch.save(members, "members"), scratch).join(sets.withColumnRenamed("doc_id", "c"), "c")
         more = scratch.save(dealt.groupBy("cluster", "i", "j").applyInArrow(_met(num, den), "a long, b long"), "more")
-        labels = scratch.save(components(scratch, links.unionByName(more)), "labels")
+    labels = scratch.save(components(scratch, links if more is None else links.unionByName(more)), "labels")
+    scratch.drop(sets, lists, close, heads, rest)
     keys = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "c")
     keys = keys.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
     keys = scratch.save(keys, "keys")
