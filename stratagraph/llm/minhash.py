@@ -8,10 +8,9 @@
    sketches that share ``least_shared`` values must meet in such a list
    (prefix filter), so a passage that thousands of documents quote makes no
    long list. At the threshold fewer shared values have a probability below ``MISS``.
-3. A list is not expanded into pairs. All members of a list meet its least member
-   (short lists: more of them), and links that hold are contracted to
-   components. Lists that still have members in several components form
-   clusters; the members of a cluster outside its largest component meet all
+3. A list is not expanded into pairs. All members of a list meet its least member,
+   the pivot. Lists whose other members are not all linked to one pivot form
+   clusters; the members of a cluster outside its largest group meet all
    others in blocks, one pair of blocks a task, which gives an edge per
    linked document, never the pairs.
 4. Pairs of step 3's first half pass the union-sketch estimate; all links are
@@ -27,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -37,14 +36,10 @@ from .scratch import Scratch
 SKETCH = 32
 #: Probability with which a pair right at the threshold may share fewer sketch values than asked for.
 MISS = 1e-6
-#: Lists of m members give SHORT / m pivots, so those of 4 are compared whole at once.
-SHORT = 16
 #: Classes, and shingles, of one block.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Shingles that one product of a block counts.
 COLUMNS = 4096
-#: Members of a pivot that one join key takes.
-SALT_ROWS = 256
 
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -139,23 +134,12 @@ def _estimated(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Data
     return pairs.join(right, "b").join(left, "a").where(met >= _need(F.least("na", "nb"), num, den)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Keep pairs (a, b) whose full sets have den * |A & B| >= num * |A | B|. ``a`` may have very many partners: its set is dealt out under salts."""
-    shares = pairs.groupBy("a").agg(F.count("*").alias("m")).select("a", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"))
-    shares = scratch.save(shares, "shares")
-    own = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).join(shares, "a")
-    own = own.select("a", "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).join(pairs.join(shares, "a"), "b")
-    other = other.select("a", "b", "y", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Keep pairs (a, b) whose full sets have den * |A & B| >= num * |A | B|. The last join is by ``a``, which may have very many partners; AQE splits it."""
+    own = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return other.join(own, ["a", "salt"]).where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-
-def _heads(members: DataFrame) -> DataFrame:
-    """(v, a, na): the least member of each list; of a list of m up to ``SHORT`` / m. Limited map-side too."""
-    first = members.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("c"))).where(F.col("rank") <= SHORT // 2)
-    first = first.where(F.col("rank") <= F.greatest(F.lit(1), F.lit(SHORT) / F.col("m")))
-    return first.select("v", F.col("c").alias("a"), F.col("n").alias("na"))
+    return pairs.join(other, "b").join(own, "a").where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def _blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
@@ -243,32 +227,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 1
     classes = named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("c"), F.first("sketch").alias("sketch"))
     classes = scratch.save(classes.withColumnRenamed("n_shingles", "n"), "classes")
     lists = _index(classes, scratch, num, den)
-    long = scratch.save(lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "long")
-    lists = scratch.save(lists.join(long, "v"), "met")
-    wanted = lists.select(F.col("c").alias("doc_id")).distinct()
+    heads = lists.groupBy("v").agg(F.min(F.struct("c", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
+    heads = scratch.save(heads.select("v", F.col("head.c").alias("a"), F.col("head.n").alias("na")), "pivots")
+    met = lists.join(heads, "v")
+    wanted = met.select(F.col("c").alias("doc_id")).distinct()
     sets = scratch.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
-
-    heads = scratch.save(_heads(lists), "pivots")
-    pairs = lists.join(heads, "v").where(f"c <> a and {den} * least(n, na) >= {num} * greatest(n, na)")
-    pairs = pairs.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+    pairs = met.where(f"c <> a and {den} * least(n, na) >= {num} * greatest(n, na)").select("a", F.col("c").alias("b")).distinct()
     close = scratch.save(_estimated(pairs, classes, num, den), "close")
-    links = scratch.save(_verified(close, sets, scratch, num, den), "links")
-    # classes that share a pivot are connected; that is all the next step needs to know
-    label = F.col("a")
-    known = links.select(F.col("b").alias("node"), label.alias("component")).unionByName(links.select(F.col("a").alias("node"), label.alias("component")))
-    labels = scratch.save(known.groupBy("node").agg(F.min("component").alias("component")), "stars")
+    links = scratch.save(_verified(close, sets, num, den), "links")
 
+    # classes that share a pivot are connected, which is all that the next step needs to know
+    known = links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")))
     # what a pivot met is settled, so it leaves its lists
-    rest = lists.select("v", "c", "n").join(heads.select("v", F.col("a").alias("c")), ["v", "c"], "left_anti")
-    rest = _marked(rest, labels, scratch)
+    rest = _marked(met.where("c <> a").select("v", "c", "n"), known.groupBy("node").agg(F.min("component").alias("component")), scratch)
     if rest.isEmpty():
         more = None
     else:
-        clusters = scratch.save(components(scratch, rest.select(F.col("c").alias("a"), F.col("least").alias("b"))), "cluster-labels")
+        clusters = components(scratch, rest.select(F.col("c").alias("a"), F.col("least").alias("b")))
         members = rest.select("c", "n", "label").distinct().join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
         dealt = _blocks(scratch.save(members, "members"), scratch).join(sets.withColumnRenamed("doc_id", "c"), "c")
         more = scratch.save(dealt.groupBy("cluster", "i", "j").applyInArrow(_met(num, den), "a long, b long"), "more")
-    labels = scratch.save(components(scratch, links if more is None else links.unionByName(more)), "labels")
+    labels = components(scratch, links if more is None else links.unionByName(more))
     scratch.drop(sets, lists, close, heads, rest)
     keys = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "c")
     keys = keys.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
