@@ -50,7 +50,7 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 10, seed: int =
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = np.asarray(column.values if isinstance(column, pa.ListArray) else column.combine_chunks().values, np.float64)
+    flat = np.asarray((column if isinstance(column, pa.ListArray) else column.combine_chunks()).flatten(), np.float64)
     return flat.reshape(len(column), -1)
 
 
@@ -95,7 +95,7 @@ def _linked(cosine: float):
         member = home == cell
         near &= member[left][:, None] | member[right][None]
         reps = np.repeat(np.arange(len(ids)), np.diff(np.asarray(seen.offsets)))
-        goes = np.asarray(seen.values)
+        goes = np.asarray(seen.flatten())
         for other in np.unique(home[home < cell]).tolist():
             visits = np.zeros(len(ids), bool)
             visits[reps[goes == other]] = True
