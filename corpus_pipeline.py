@@ -14,6 +14,8 @@ from stratagraph.llm.scratch import Scratch
 
 #: Documents that score this or more are rejected.
 TOXIC = 0.3
+#: Documents whose Jaccard similarity over 5-word shingles is this or more (a fraction) are near copies.
+SIMILAR = (80, 100)
 #: Not expressible in SQL: fitted scores, tokenizer ids.
 ORACLE_SQL = None
 
@@ -32,7 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least doc_id."""
-    copies = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    copies = minhash.near_duplicates(docs, num=SIMILAR[0], den=SIMILAR[1]).where("not kept").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -79,7 +79,7 @@ def _sketches(words: int):
                 u = s.view(np.uint64)
                 f1.append(int(wordhash.mix(u).sum(dtype=np.uint64).view(np.int64)) if len(u) else 0)
                 f2.append(int(wordhash.mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(u) else 0)
-                least.append(s[:SKETCH])
+                least.append(s[:SKETCH].copy())  # a view would hold the whole set
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists(least)], schema=_SKETCHES)
 
     return run
