@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that stand earlier; one that consists of such runs goes."""
-    out = lines.dedup_lines(docs).where("report.n_lines = 0 or report.n_removed < report.n_lines").drop("report")
+    """Documents without lines that stand earlier, be it a single one; one that consists of such lines goes."""
+    out = lines.dedup_lines(docs, gram=1, window=1).where("report.n_lines = 0 or report.n_removed < report.n_lines").drop("report")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

@@ -29,3 +29,21 @@ def test_near_dedup_stage_links_from_080(spark):
     rows = [(1, base), (2, at_84), (3, prose(2, 120)), (4, prose(3, 40)), (5, prose(4, 120))]
     assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()} == {1, 3, 4, 5}
     assert corpus_pipeline.drop_near_copies(spark, docs(spark, [(1, base), (2, at_78)]), "").count() == 2
+
+
+def test_line_dedup_stage_finds_single_lines(spark):
+    passage, short, two = prose(11, 50), "all rights reserved", [prose(12, 12), prose(13, 8)]
+    own = [prose(20 + i, 30) for i in range(12)]
+    rows = [
+        (1, "\n".join([own[0], passage, own[1], short])),
+        (2, "\n".join([own[2], "", passage])),  # a passage of one line
+        (3, "\n".join([short, own[3], own[4], own[5]])),
+        (4, passage.replace(" ", "  ")),  # nothing else
+        (5, "\n".join([*two, own[6]])),
+        (6, "\n".join([own[7], *two])),  # and of two
+        (7, "\n".join([own[8], own[9], own[8]])),  # within a document
+        (8, own[10] + "\n" + own[11]),
+    ]
+    got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.drop_repeated_lines(spark, docs(spark, rows), "").collect()}
+    want = dict(rows) | {2: own[2] + "\n", 3: "\n".join(own[3:6]), 6: own[7], 7: own[8] + "\n" + own[9]}
+    assert got == {i: (t, len(t)) for i, t in want.items() if i != 4}
