@@ -4,7 +4,7 @@ A byte-pair tokenizer works within the pieces that its pre-tokenizer cuts, and
 the two kinds of pre-tokenizer known here never join what a space parts. A text
 is therefore cut at spaces in C, and only words that the process has not met are
 encoded. Texts for which that does not hold (runs of white space, special
-tokens) are encoded whole by the library.
+tokens, U+0000) are encoded whole by the library.
 
 New words are encoded many at a time. Where the vocabulary lists byte pairs in
 the order of their merges, which is checked on loading, a faster library for such
@@ -30,7 +30,8 @@ JOINED = 2000
 # Fixed value: how the byte-level pre-tokenizer cuts a text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_WHITE_RUN = re.compile(r"\s\s|<\|")
+#: U+0000 marks the first word of a text, so texts that hold it go whole as well.
+_WHITE_RUN = re.compile(r"\s\s|<\||\x00")
 _loaded: dict[str, "Encoder"] = {}
 
 

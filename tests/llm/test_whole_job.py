@@ -4,6 +4,11 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from stratagraph.llm import tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,3 +52,14 @@ def test_line_dedup_stage_finds_single_lines(spark):
     got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.drop_repeated_lines(spark, docs(spark, rows), "").collect()}
     want = dict(rows) | {2: own[2] + "\n", 3: "\n".join(own[3:6]), 6: own[7], 7: own[8] + "\n" + own[9]}
     assert got == {i: (t, len(t)) for i, t in want.items() if i != 4}
+
+
+def test_encoder_keeps_nul():
+    texts = ["x \0abc", "\0abc", "abc x", "\0", "x \0", "\0 \0abc", "a\0b \0\0c", "x\n\0abc", "abc"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        for turn in (texts, texts[::-1]):
+            made, expect = tokens.Encoder(path), want if turn is texts else want[::-1]
+            assert [np.frombuffer(x, "<u4").tolist() for x in made.encode(turn)] == expect
+            assert made.count(turn) == [len(x) for x in expect]
