@@ -168,17 +168,18 @@ def _shared(buckets: int, doc_buckets: int):
     return run
 
 
-def _places(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, unit) that (doc, pos) stand for; all rows that share an id are meant."""
+def _places(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, unit, index of the place) that (doc, pos) stand for; all rows that share an id are meant."""
     lo, hi = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
-    rows, units = [], []
+    rows, units, which = [], [], []
     for k in range(int((hi - lo).max()) if len(doc) else 0):
         on = lo + k < hi
         row, at = (lo + k)[on], pos[on]
         fits = at < first[row + 1] - first[row]
         rows.append(row[fits])
         units.append(first[row[fits]] + at[fits])
-    return (np.concatenate(rows), np.concatenate(units)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+        which.append(np.flatnonzero(on)[fits])
+    return (np.concatenate(rows), np.concatenate(units), np.concatenate(which)) if rows else (np.empty(0, np.int64),) * 3
 
 
 def _spread(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -196,7 +197,7 @@ def _extend(plan: Plan, buckets: int, doc_buckets: int):
         docs, ids = by_id(docs.select(["doc_id", "text"]))
         h, first = row_units(docs["text"], plan.units)
         doc, pos, _ = _unpack(found)
-        row, at = _places(ids, first, doc, pos)
+        row, at, _ = _places(ids, first, doc, pos)
         last = first[row + 1] - plan.length
         lo, hi = np.maximum(at + plan.anchor - plan.length, first[row]), np.minimum(at, last) + 1
         fits = lo < hi
@@ -208,12 +209,17 @@ def _extend(plan: Plan, buckets: int, doc_buckets: int):
         doc, pos = ids[row], start - first[row]
         one, repeat = _first_places(doc, pos, value)
         out = list(_pack((value[one] % np.uint64(buckets)).astype(np.int32), doc[one], pos[one], value[one]))
-        out += list(_pack(buckets + bucket_of(doc[repeat], doc_buckets), doc[repeat], pos[repeat]))
+        out += list(_pack(buckets + bucket_of(doc[repeat], doc_buckets), doc[repeat], pos[repeat], _tags(value[repeat])))
         return pa.Table.from_batches(out, schema=_PACKED)
 
     return run
 
 
+def _tags(value: np.ndarray) -> np.ndarray:
+    """The half of a window's hash that its marks carry, to tell rows of one id apart."""
+    return (value >> np.uint64(32)).astype(np.uint32)
+
+
 def _first_places(doc: np.ndarray, pos: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Items at the first (doc, pos) of their value, one of each value; items elsewhere."""
     order = np.lexsort((pos, doc, value))
@@ -234,7 +240,7 @@ def _resolve(buckets: int, doc_buckets: int):
         doc, pos, value = _unpack(table, np.uint64)
         _, repeat = _first_places(doc, pos, value)
         doc, pos = doc[repeat], pos[repeat]
-        return pa.Table.from_batches(list(_pack(bucket_of(doc, doc_buckets), doc, pos)), schema=_PACKED)
+        return pa.Table.from_batches(list(_pack(bucket_of(doc, doc_buckets), doc, pos, _tags(value[repeat]))), schema=_PACKED)
 
     return run
 
@@ -244,8 +250,9 @@ def mark(plan: Plan, docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np
 
     finish(documents, marked, first): ``marked`` holds for each unit whether a run
     of ``plan.length`` units that covers it also starts earlier, ``first`` the
-    first unit of each row. Rows that share a doc_id share their marks and
-    are no repeats of each other at the same position; a null doc_id counts as the least.
+    first unit of each row. Rows that share a doc_id count as one document:
+    equal runs at one position are no repeats of each other, and a mark holds for the rows that have its run there;
+    a null doc_id counts as the least.
     """
     buckets, doc_buckets = pieces_for(docs, HASH_BYTES), pieces_for(docs, DOC_BYTES)
     keyed = docs.withColumn("doc_bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(doc_buckets)).cast("int"))
@@ -258,8 +265,17 @@ def mark(plan: Plan, docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np
     def close(table: pa.Table, marks: pa.Table) -> pa.Table:
         table, ids = by_id(table)
         h, first = row_units(table["text"], units)
-        doc, pos, _ = _unpack(marks)
-        _, at = _places(ids, first, doc, pos)
+        doc, pos, tag = _unpack(marks, np.uint32)
+        row, at, which = _places(ids, first, doc, pos)
+        inside = at + length <= first[row + 1]
+        row, at, which = row[inside], at[inside], which[inside]
+        # of rows that share an id, those are meant that have the marked run at this place
+        shared = np.zeros(len(ids), bool)
+        shared[1:] = ids[1:] == ids[:-1]
+        shared[:-1] |= shared[1:]
+        unsure = np.flatnonzero(shared[row])
+        other = unsure[_tags(wordhash.gram_at(h, at[unsure], length)) != tag[which[unsure]]]
+        at = np.delete(at, other)
         return finish(table, _spread(len(h), at, at + length), first)
 
     return keyed.groupBy("doc_bucket").cogroup(repeats.groupBy("key")).applyInArrow(close, schema)

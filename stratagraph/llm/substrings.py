@@ -47,8 +47,8 @@ def dedup_substrings(docs: DataFrame, length: int = 20) -> DataFrame:
     earlier (smaller doc_id, or earlier in the document) is removed; windows are
     judged on the input. kept_text: the other words, joined by one space. Null,
     empty and blank texts have no words. Rows that repeat a doc_id count as one
-    document: they are no repeats of each other at the same position, and
-    share their marks. A null doc_id counts as the least. An empty table gives
+    document: they are no repeats of each other at the same position; where
+    their texts differ, each loses its own repeats only. A null doc_id counts as the least. An empty table gives
     an empty one; other columns are ignored.
     """
     if length <= PERIOD:

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from stratagraph.llm import tokens
+from stratagraph.llm import lines, substrings, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,3 +63,42 @@ def test_encoder_keeps_nul():
             made, expect = tokens.Encoder(path), want if turn is texts else want[::-1]
             assert [np.frombuffer(x, "<u4").tolist() for x in made.encode(turn)] == expect
             assert made.count(turn) == [len(x) for x in expect]
+
+
+def marks_of(rows, length):
+    """Marks of units by brute force: equal runs at one (id, position) are no repeats of each other."""
+    first = {}
+    for i, own in sorted(rows, key=lambda r: r[0]):
+        for at in range(len(own) - length + 1):
+            first[tuple(own[at : at + length])] = min(first.get(tuple(own[at : at + length]), (i, at)), (i, at))
+    out = []
+    for i, own in rows:
+        marked = [False] * len(own)
+        for at in range(len(own) - length + 1):
+            if first[tuple(own[at : at + length])] != (i, at):
+                marked[at : at + length] = [True] * length
+        out.append(marked)
+    return out
+
+
+def repeated_ids(length):
+    """(id, units): ids that several rows of unlike length and text share."""
+    known = [f"{w}x" for w in prose(31, 3 * length).split()]
+    own = lambda seed, n: [f"{w}y{seed}" for w in prose(seed, n).split()]
+    rows = [(1, known)]
+    rows += [(2, own(32, 30) + known[:length]), (2, own(33, 30 + length // 2)), (3, own(34, 40))]  # ends beyond the shorter row
+    rows += [(4, known[length:]), (4, own(35, 3 * length)), (4, own(36, 2))]  # inside an unlike row
+    rows += [(5, own(37, 25)), (5, own(37, 25)), (6, own(37, 25) + known), (6, own(38, 3))]
+    return rows + [(7, own(39, 20) + own(40, length)), (7, own(41, 4) + own(40, length)), (2**40, own(42, 50))]
+
+
+def test_repeated_ids_of_unlike_texts(spark):
+    rows = repeated_ids(20)
+    got = substrings.dedup_substrings(docs(spark, [(i, " ".join(own)) for i, own in rows])).collect()
+    want = [(i, len(own), sum(m), " ".join(w for w, x in zip(own, m) if not x)) for (i, own), m in zip(rows, marks_of(rows, 20))]
+    assert sorted(map(tuple, got)) == sorted(want)
+    rows = repeated_ids(3)
+    for gram, window in ((2, 2), (1, 1)):
+        got = lines.dedup_lines(docs(spark, [(i, "\n".join(own)) for i, own in rows]), gram, window).collect()
+        want = [(i, len(own), sum(m), "\n".join(w for w, x in zip(own, m) if not x)) for (i, own), m in zip(rows, marks_of(rows, gram + window - 1))]
+        assert sorted((x.doc_id, x.report.n_lines, x.report.n_removed, x.text) for x in got) == sorted(want)
