@@ -59,9 +59,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .embeddings import near_vectors
+    from .embeddings import RECALL, near_vectors
 
-    return near_vectors(_table(spark, sf_dir, "embeddings"))
+    return near_vectors(_table(spark, sf_dir, "embeddings"), recall=RECALL)
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
