@@ -151,5 +151,5 @@ def http_method(annotation: Column) -> Column:
     low = F.lower(annotation)
     out = F.lit("REQUEST")
     for verb in ("patch", "delete", "put", "post", "get"):
-        out = F.when(low.endswith(f"{verb}mapping") | low.endswith(verb), F.lit(verb.upper())).otherwise(out)
+        out = F.when(low.endswith(f"{verb}mapping"), F.lit(verb.upper())).otherwise(out)
     return out
