@@ -52,8 +52,34 @@ class Unavailable(Exception):
 class UnavailableBackend:
     name = "unavailable"
 
+    def __init__(self, why: str | None = None):
+        self.why = why
+
+    def parse(self, language: str, text: str) -> Tree:
+        raise Unavailable(self.why or language)
+
+
+class Registry:
+    """A backend for each language; a language without one is not supported."""
+
+    name = "registry"
+
+    def __init__(self, backends: dict[str, Backend]):
+        self.backends = dict(backends)
+
+    @property
+    def languages(self) -> list[str]:
+        return list(self.backends)
+
+    def find(self, language: str) -> Backend | None:
+        return self.backends.get(language)
+
+    def with_backends(self, more: dict[str, Backend]) -> "Registry":
+        """The last backend given for a language counts."""
+        return Registry({**self.backends, **more})
+
     def parse(self, language: str, text: str) -> Tree:
-        raise Unavailable(language)
+        return self.backends[language].parse(language, text)
 
 
 def _words(text: str, pattern: str, kind: str, base: int = 0) -> list[Node]:
