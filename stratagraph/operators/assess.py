@@ -59,31 +59,47 @@ def notes(c: dict[str, Column]) -> Column:
         return F.when(n > 0, F.concat(n.cast("string"), F.lit(f" file(s) {what}")))
 
     found = [
-        note(c["recoverable"], "had recoverable parse errors but still produced syntax trees"),
-        note(c["errors"] - c["recoverable"], "had non-recoverable parse errors"),
-        note(c["unavailable"], "could not be parsed because the backend was unavailable"),
-        note(c["unsupported"], "used unsupported languages"),
-        note(c["ignored"], "were intentionally omitted by ignore rules"),
-        F.when(c["fatal"] > 0, "Fatal diagnostics were emitted"),
+        note(c["recoverable"], "with parse errors that left a syntax tree"),
+        note(c["errors"] - c["recoverable"], "with parse errors that left none"),
+        note(c["unavailable"], "whose parser could not be used"),
+        note(c["unsupported"], "in languages that no parser knows"),
+        note(c["ignored"], "left out by the ignore rules"),
+        F.when(c["fatal"] > 0, F.lit("Some diagnostics are fatal")),
     ]
     return F.array_compact(F.array(*found))
 
 
-def assess(inventory: DataFrame, parses: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """One row: outcome, completeness, counts and notes. Ignored paths come as a sorted list."""
+def omitted(inventory: DataFrame) -> DataFrame:
+    """(relative_path) of ignored files, a row each."""
+    return inventory.where("ignored").select("relative_path")
+
+
+def assess(inventory: DataFrame, parses: DataFrame, diagnostics: DataFrame, listed: bool = True) -> DataFrame:
+    """One row: outcome, completeness, counts and notes. ``listed``: ignored paths as a sorted list, for one repository's document; without it only ``omitted`` has them, as rows."""
     status = F.col("status")
     of = lambda name: F.count_if(status == name)
+    paths = [F.array_sort(F.collect_list(F.when(F.col("ignored"), F.col("relative_path")))).alias("omitted_paths")] if listed else []
     rows = [
         diagnostics.agg(F.count("*").alias("diagnostics"), F.count_if("fatal").alias("fatal")),
         degraded(diagnostics, parses).agg(F.count("*").alias("degraded")),
         parses.agg(of("SUCCESS").alias("success"), of("SKIPPED").alias("skipped"), of("BACKEND_UNAVAILABLE").alias("unavailable"), of("UNSUPPORTED_LANGUAGE").alias("unsupported"), of("PARSE_ERROR").alias("errors"), F.count_if((status == "PARSE_ERROR") & F.col("has_tree")).alias("recoverable")),
-        inventory.agg(F.count("*").alias("total"), F.count_if("ignored").alias("ignored"), F.array_sort(F.collect_list(F.when(F.col("ignored"), F.col("relative_path")))).alias("omitted_paths")),
+        inventory.agg(F.count("*").alias("total"), F.count_if("ignored").alias("ignored"), *paths),
     ]
     one = reduce(lambda a, b: a.crossJoin(b), rows)  # one row each
     c = {n: F.col(n) for n in one.columns}
     return one.select(outcome(c["fatal"], c["degraded"]).alias("outcome"), completeness(c["fatal"], c["degraded"]).alias("completeness"), (c["total"] - c["ignored"]).alias("indexed"), "*", notes(c).alias("notes"))
 
 
+#: Parts of a document that must be there.
+HEADER = ["schemaVersion", "indexerVersion", "runMetadata", "source", "completeness"]
+
+
+def header_violations(header: dict) -> list[str]:
+    """Messages on a document's head: versions that are missing or blank, parts that are missing."""
+    missing = lambda v: v is None or isinstance(v, str) and not v.strip()
+    return [f"{k} must be present" for k in HEADER if missing(header.get(k))]
+
+
 def violations(scopes: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
     """(message): ids that are missing or not unique over all three tables, missing names, ends that are no entity."""
     blank = lambda c: c.isNull() | (F.trim(c) == "")

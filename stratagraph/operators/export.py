@@ -41,6 +41,12 @@ def compatibility(own: dict, schema_version: str) -> dict:
     }
 
 
+def evaluate(own: dict, document: dict) -> dict:
+    """Whether a document may be imported under a contract."""
+    parts = {"schemaMatches": own["schemaVersion"] == document.get("schemaVersion"), "payloadTypeMatches": own["payloadType"] == PAYLOAD_TYPE, "contractVersionSupported": own["contractVersion"] == CONTRACT_VERSION}
+    return parts | {"compatible": all(parts.values())}
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """A table for each array of the document; the manifest comes last, so a folder with one is whole."""
     for name, frame in tables.items():

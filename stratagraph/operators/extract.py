@@ -6,6 +6,7 @@ that first-wins rules refer to; nothing depends on the order of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,6 +30,19 @@ RELATION = ["id", "kind", "from_entity_id", "to_entity_id", "label", "source_ref
 SCOPE = ["id", "kind", "name", "display_name", "parent_scope_id", "source_refs", "metadata", "ord"]
 
 
+@dataclass(frozen=True)
+class Found:
+    """What one extractor gives, in parts."""
+
+    scopes: list[DataFrame]
+    entities: list[DataFrame]
+    relationships: list[DataFrame]
+
+
+#: nodes of a group of languages, parses that extraction reads of them -> facts
+Extractor = Callable[[DataFrame, DataFrame], Found]
+
+
 @dataclass(frozen=True)
 class Facts:
     scopes: DataFrame
@@ -88,19 +102,16 @@ def _labels(above: DataFrame, nodes: DataFrame, types: list[str]) -> DataFrame:
     return above.join(own, ["path", "pre"], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
 
-def gates(parses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parses that extraction reads, and its warnings; only TypeScript goes on with a tree that has errors."""
+def gates(parses: DataFrame, languages: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parses that extraction reads, and its warnings; only TypeScript goes on with a tree that has errors. Other ``languages`` than the default ones need a tree without errors."""
     lang, tree_there = F.col("language"), F.col("has_tree")
     good = (F.col("status") == "SUCCESS") & tree_there
-    supported = lang.isin("java", "typescript", "sql", *CONFIG)
+    supported = lang.isin(*(languages or list(EXTRACTORS)))
     degraded = (lang == "typescript") & tree_there & ~good
     reads = parses.where(supported & (good | degraded))
     code = F.when(degraded, F.lit("extract.typescript.degraded-syntax-tree")).otherwise(F.concat(F.lit("extract."), lang, F.lit(".syntax-tree-required")))
-    message = F.when(degraded, F.lit("TypeScript extraction is proceeding from a degraded Tree-sitter syntax tree despite parse errors."))
-    message = message.when(lang == "java", "Java structural extraction requires a successful Tree-sitter syntax tree; no regex fallback is used.")
-    message = message.when(lang == "typescript", "TypeScript structural extraction requires a Tree-sitter syntax tree; no regex fallback is used.")
-    message = message.when(lang == "sql", "SQL structural extraction requires a successful Tree-sitter syntax tree.")
-    message = message.otherwise(F.concat(lang, F.lit(" structural extraction requires a successful Tree-sitter syntax tree.")))
+    whole = F.concat(F.lit("No facts were taken from this "), lang, F.lit(" file: its parse gave no whole syntax tree."))
+    message = F.when(degraded, F.lit("Facts were taken from a typescript syntax tree that has errors.")).otherwise(whole)
     path, none = F.col("path"), F.lit(None).cast("string")
     warned = parses.where(supported & ~good).select("path", "language", "status", code.alias("code"), message.alias("message"))
     warnings = warned.select(
@@ -153,9 +164,14 @@ def _imports(rows: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
     return out, depends(rows, ids.file_entity_id(path), target, label, source_ref(path, line, F.col("text"), language=language, kind="import"), language, at)
 
 
-def _java(nodes: DataFrame, reads: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+def _of(nodes: DataFrame, *languages: str) -> DataFrame:
+    """The nodes of some languages: only these parts are read of a table that is partitioned by language."""
+    return nodes.where(F.col("language").isin(*languages)).drop("language") if "language" in nodes.columns else nodes
+
+
+def _java(nodes: DataFrame, reads: DataFrame) -> Found:
     path = F.col("path")
-    own = nodes.join(reads.where("language = 'java'").select("path", "status"), "path").withColumn("line", F.col("start_line") + 1)
+    own = _of(nodes, "java").join(reads.where("language = 'java'").select("path", "status"), "path").withColumn("line", F.col("start_line") + 1)
     stated = own.where("type = 'package_declaration'").groupBy("path").agg(text.qualified_name(F.min_by("text", "pre")).alias("stated"))
     files = reads.where("language = 'java'").select("path").join(stated, "path", "left")
     files = files.select("path", F.coalesce("stated", text.package_from_path(path)).alias("package"))
@@ -195,12 +211,12 @@ def _java(nodes: DataFrame, reads: DataFrame) -> tuple[list[DataFrame], list[Dat
     target, at = ids.scoped_entity_id("java", path, F.col("simple"), line), order(path, 4, F.col("pre"))
     meta = F.struct(F.lit("java").alias("language"), params.alias("parameters"), F.col("labels").alias("annotations"), *mode)
     functions = entity(methods, target, "FUNCTION", "OBSERVED", F.col("simple"), F.concat("simple", text.strip(params)), ids.scope_id("file", path), ref, meta, "java", at, F.col("labels"))
-    return [scopes], [imported, typed, functions], [imports, holds, contains(methods, ids.file_entity_id(path), target, ref, at)]
+    return Found([scopes], [imported, typed, functions], [imports, holds, contains(methods, ids.file_entity_id(path), target, ref, at)])
 
 
-def _typescript(nodes: DataFrame, reads: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def _typescript(nodes: DataFrame, reads: DataFrame) -> Found:
     path, line = F.col("path"), F.col("line")
-    own = nodes.join(reads.where("language = 'typescript'").select("path", "status"), "path").withColumn("line", F.col("start_line") + 1)
+    own = _of(nodes, "typescript").join(reads.where("language = 'typescript'").select("path", "status"), "path").withColumn("line", F.col("start_line") + 1)
     imported, imports = _imports(own.where("type = 'import_statement'").withColumn("label", text.import_source(F.col("text"))), "typescript")
     arrows = tree.has_descendant(own.where("type = 'variable_declarator'"), own, "arrow_function")
     found = own.where(F.col("type").isin("class_declaration", "interface_declaration", "function_declaration")).unionByName(arrows)
@@ -215,7 +231,7 @@ def _typescript(nodes: DataFrame, reads: DataFrame) -> tuple[list[DataFrame], li
     meta = F.struct(F.lit("typescript").alias("language"), F.col("labels").alias("decorators"), F.col("status").alias("parseStatus"), F.lit("SYNTAX_TREE").alias("extractionMode"))
     # the shown name is the name here, and the plain one is shown
     named = entity(found, target, F.col("e_kind"), "OBSERVED", naming.entity_display_name(F.col("e_kind"), F.col("simple"), F.lit("typescript")), F.col("simple"), ids.scope_id("file", path), ref, meta, "typescript", F.col("at"), F.col("labels"))
-    return [imported, named], [imports, contains(found, ids.file_entity_id(path), target, ref, F.col("at"))]
+    return Found([], [imported, named], [imports, contains(found, ids.file_entity_id(path), target, ref, F.col("at"))])
 
 
 def sql_tables(snippets: DataFrame) -> DataFrame:
@@ -229,9 +245,9 @@ def sql_tables(snippets: DataFrame) -> DataFrame:
     return one(made, ["path"]).unionByName(one(used, ["path", "line"]))
 
 
-def _sql(nodes: DataFrame, reads: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def _sql(nodes: DataFrame, reads: DataFrame) -> Found:
     path, line, table = F.col("path"), F.col("line"), F.col("table_name")
-    own = nodes.where(F.col("type").isin(*SQL_NODES)).join(reads.where("language = 'sql'").select("path", "status"), "path")
+    own = _of(nodes, "sql").where(F.col("type").isin(*SQL_NODES)).join(reads.where("language = 'sql'").select("path", "status"), "path")
     own = own.withColumn("line", F.col("start_line") + 1).where(F.trim("text") != "")
     rows = sql_tables(own.select("path", "pre", "line", "text")).join(own.select("path", "pre", "text", "type", "status"), ["path", "pre"])
     target, at = ids.external_entity_id("sql-table", table), order(path, 2, F.col("pre"), F.col("pos"))
@@ -239,7 +255,7 @@ def _sql(nodes: DataFrame, reads: DataFrame) -> tuple[list[DataFrame], list[Data
     meta = F.struct(F.lit("sql").alias("language"), table.alias("tableName"), F.col("status").alias("parseStatus"), F.lit("SYNTAX_TREE").alias("extractionMode"))
     made, used, file = rows.where("defined"), rows.where("not defined"), ids.file_entity_id(path)
     entities = [entity(made, target, "DATASTORE", "OBSERVED", table, table, ids.scope_id("file", path), ref, meta, "sql", at), entity(used, target, "DATASTORE", "INFERRED", table, table, None, ref, meta, "sql", at)]
-    return entities, [contains(made, file, target, ref, at), depends(used, file, target, table, ref, "sql", at)]
+    return Found([], entities, [contains(made, file, target, ref, at), depends(used, file, target, table, ref, "sql", at)])
 
 
 def config_entries(snippets: DataFrame) -> DataFrame:
@@ -249,12 +265,13 @@ def config_entries(snippets: DataFrame) -> DataFrame:
     return rows.groupBy("path", "line", "key").agg(F.min_by(F.struct(*rows.columns), "pre").alias("f")).select("f.*")
 
 
-def _config(nodes: DataFrame, reads: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def _config(nodes: DataFrame, reads: DataFrame) -> Found:
     path, line, lang, key, value = (F.col(c) for c in ("path", "line", "language", "key", "value"))
     wanted = F.lit(False)
     for language, types in CONFIG_NODES.items():
         wanted = wanted | ((F.col("language") == language) & F.col("type").isin(*types))
-    own = nodes.join(reads.select("path", "language", "status"), "path").where(wanted).withColumn("line", F.col("start_line") + 1)
+    reads = reads.where(lang.isin(*CONFIG))
+    own = _of(nodes, *CONFIG).join(reads.select("path", "language", "status"), "path").where(wanted).withColumn("line", F.col("start_line") + 1)
     rows = config_entries(own.select("path", "language", "pre", "line", "text")).join(reads.select("path", "status"), "path")
     kind = F.when(text.datastore_like(key, value), "DATASTORE").otherwise("CONFIG_ARTIFACT")
     rows = rows.withColumn("e_kind", kind)
@@ -269,31 +286,59 @@ def _config(nodes: DataFrame, reads: DataFrame) -> tuple[list[DataFrame], list[D
     kind = F.when(F.col("e_kind") == "DATASTORE", "DATASTORE").otherwise("EXTERNAL_SYSTEM")
     meta = F.struct(lang.alias("language"), F.lit(True).alias("external"), key.alias("sourceConfigKey"))
     systems = entity(outside, external, kind, "INFERRED", F.col("target"), F.col("target"), None, ref, meta, lang, at)
-    return [entries, systems], [holds, depends(outside, target, external, F.col("target"), ref, lang, at)]
+    return Found([], [entries, systems], [holds, depends(outside, target, external, F.col("target"), ref, lang, at)])
+
+
+#: The extractor of each language; those of several languages see the nodes of all of them at once.
+EXTRACTORS: dict[str, Extractor] = {"java": _java, "typescript": _typescript, "sql": _sql, **{language: _config for language in CONFIG}}
+
+
+def with_extractors(more: dict[str, Extractor], known: dict[str, Extractor] | None = None) -> dict[str, Extractor]:
+    """The default extractors, or ``known`` ones, and more; the last one given for a language counts."""
+    return {**(EXTRACTORS if known is None else known), **more}
 
 
-def extract(nodes: DataFrame, parses: DataFrame) -> Facts:
-    """All facts, the first of each id. ``nodes`` and ``parses`` are read several times: cache or write them."""
-    reads, warnings = gates(parses)
+def extract(nodes: DataFrame, parses: DataFrame, extractors: dict[str, Extractor] | None = None) -> Facts:
+    """All facts, the first of each id, by the extractors of each language; files of other languages give none. ``nodes`` and ``parses`` are read several times: write them first."""
+    extractors = EXTRACTORS if extractors is None else extractors
+    reads, warnings = gates(parses, list(extractors) or [""])
     scopes, modules = _files(reads)
-    j_scopes, j_entities, j_relations = _java(nodes, reads)
-    t_entities, t_relations = _typescript(nodes, reads)
-    s_entities, s_relations = _sql(nodes, reads)
-    c_entities, c_relations = _config(nodes, reads)
+    found = []
+    for extractor in dict.fromkeys(extractors.values()):
+        languages = [x for x, own in extractors.items() if own is extractor]
+        only = F.col("language").isin(*languages)
+        found.append(extractor(nodes.where(only) if "language" in nodes.columns else nodes, reads.where(only)))
+    every = lambda part: [frame for f in found for frame in getattr(f, part)]
     ord = F.col("ord")
+    relationships = every("relationships") or [contains(modules, F.col("id"), F.col("id"), F.get("source_refs", F.lit(0)), ord).where(F.lit(False))]
     return Facts(
-        first_wins(_union([scopes, *j_scopes]), "id", ord),
-        first_wins(_union([modules, *j_entities, *t_entities, *s_entities, *c_entities]), "id", ord),
-        first_wins(_union([*j_relations, *t_relations, *s_relations, *c_relations]), "id", ord),
+        first_wins(_union([scopes, *every("scopes")]), "id", ord),
+        first_wins(_union([modules, *every("entities")]), "id", ord),
+        first_wins(_union(relationships), "id", ord),
         warnings,
     )
 
 
-def summary(parses: DataFrame, facts: Facts) -> DataFrame:
-    """One row: files visited and extracted, by language and mode, and numbers of facts."""
-    reads, _ = gates(parses)
-    visited = parses.where(F.col("language").isin("java", "typescript", "sql", *CONFIG)).agg(F.count("*").alias("files_visited"))
-    by = reads.groupBy("language").agg(F.count("*").cast("int").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files_extracted"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("by_language"))
-    counts = [facts.entities.agg(F.count("*").alias("entities")), facts.relationships.agg(F.count("*").alias("relationships")), facts.scopes.agg(F.count("*").alias("scopes"))]
+def in_file(facts: DataFrame, path: Column | str) -> DataFrame:
+    """Facts with any source reference to a file."""
+    wanted = F.lit(path) if isinstance(path, str) else path
+    return facts.where(F.exists("source_refs", lambda r: r["path"] == wanted))
+
+
+def summary(parses: DataFrame, facts: Facts, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """One row: files visited and extracted, by language and by mode, and numbers of facts."""
+    languages = list(EXTRACTORS if extractors is None else extractors)
+    reads, _ = gates(parses, languages or [""])
+    visited = parses.where(F.col("language").isin(*languages)).agg(F.count("*").alias("files_visited"))
+    count = lambda key, name: reads.groupBy(key.alias("k")).agg(F.count("*").cast("int").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+    # every file that is read gives its facts from a syntax tree
+    counts = [
+        reads.agg(F.count("*").alias("files_extracted")),
+        count(F.col("language"), "by_language"),
+        count(F.lit("SYNTAX_TREE"), "by_mode"),
+        facts.entities.agg(F.count("*").alias("entities")),
+        facts.relationships.agg(F.count("*").alias("relationships")),
+        facts.scopes.agg(F.count("*").alias("scopes")),
+    ]
     # one row each
-    return reduce(lambda a, b: a.crossJoin(b), [visited, by, *counts])
+    return reduce(lambda a, b: a.crossJoin(b), [visited, *counts])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,20 +26,27 @@ def diff(previous: DataFrame | None, current: DataFrame) -> DataFrame:
     return a.join(b, "relative_path", "full_outer").select("relative_path", change.alias("change"))
 
 
+def reprocessed(changes: DataFrame) -> DataFrame:
+    """(relative_path, change, turn): what to parse again, added paths before changed ones, and what to remove; a row each. Order by turn and path."""
+    turn = F.when(F.col("change") == "added", 0).when(F.col("change") == "changed", 1).otherwise(2)
+    return changes.where("change <> 'unchanged'").select("relative_path", "change", turn.alias("turn"))
+
+
+def counts(changes: DataFrame) -> DataFrame:
+    """One row: whether an incremental run is useful, numbers of paths by change, and the strategy."""
+    rows = changes.agg(*(F.count_if(F.col("change") == k).alias(f"{k}_count") for k in ("added", "changed", "removed", "unchanged")))
+    useful = (F.col("added_count") + F.col("changed_count") + F.col("removed_count")) > 0
+    return rows.select(useful.alias("incremental"), "*", F.when(useful, "reprocess-added-and-changed").otherwise("full-or-noop").alias("strategy"))
+
+
 def plan(changes: DataFrame | None) -> DataFrame | None:
-    """One row: whether an incremental run is useful, counts, and sorted lists; added paths come before changed ones."""
+    """``counts`` with the paths of ``reprocessed`` as sorted lists, for one repository's summary; without changes one row that is not incremental, with the reason."""
     if changes is None:
-        return None
+        one = SparkSession.active().range(1)
+        none = F.array().cast("array<string>")
+        return one.select(F.lit(False).alias("incremental"), none.alias("parse_paths"), none.alias("removed_paths"), F.lit("no-diff").alias("reason"))
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("change") == kind, F.col("relative_path"))))
-    rows = changes.agg(*(of(k).alias(k) for k in ("added", "changed", "removed")), *(F.count_if(F.col("change") == k).alias(f"{k}_count") for k in ("added", "changed", "removed", "unchanged")))
-    useful = (F.col("added_count") + F.col("changed_count") + F.col("removed_count")) > 0
-    return rows.select(
-        useful.alias("incremental"),
-        F.concat("added", "changed").alias("parse_paths"),
-        F.col("removed").alias("removed_paths"),
-        "added_count",
-        "changed_count",
-        "removed_count",
-        "unchanged_count",
-        F.when(useful, "reprocess-added-and-changed").otherwise("full-or-noop").alias("strategy"),
-    )
+    lists = reprocessed(changes).agg(*(of(k).alias(k) for k in ("added", "changed", "removed")))
+    # one row each
+    rows = counts(changes).crossJoin(lists)
+    return rows.select("incremental", F.concat("added", "changed").alias("parse_paths"), F.col("removed").alias("removed_paths"), "added_count", "changed_count", "removed_count", "unchanged_count", "strategy")
