@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--snapshot-out")
     out.add_argument("--worker-request")
     out.add_argument("--worker-result")
-    out.add_argument("--workspace", default=tempfile.gettempdir(), help="a folder that the whole cluster shares")
+    out.add_argument("--workspace", help="a folder that the whole cluster shares; else spark.checkpoint.dir")
     return out
 
 
@@ -41,7 +40,8 @@ def main(args: list[str] | None = None) -> int:
     else:
         request = worker.JobRequest(None, given.repository_id, given.source, given.git_url, given.git_ref, given.output, given.snapshot_in, given.snapshot_out)
         result = worker.run_job(spark, request, given.workspace)
-    print(json.dumps(result, indent=2))
+    # a document's run prints its summary, others the job's result
+    print(json.dumps(result["summary"] if result["status"] == "SUCCESS" and "exportManifestPreview" in result["summary"] else result, indent=2, default=str))
     return int(result["status"] != "SUCCESS")
 
 

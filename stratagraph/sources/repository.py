@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import subprocess
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from ..schemas import DIAGNOSTICS, ENTITIES, RELATIONSHIPS, SCOPES, SNAPSHOT
 
@@ -20,6 +22,7 @@ class Source:
     branch: str | None = None
     revision: str | None = None
     has_remote: bool = False
+    remote_url: str | None = None
 
 
 def identity(explicit: str | None, fallback: str | None) -> str:
@@ -57,7 +60,7 @@ def clone(url: str, workspace: str, ref: str | None = None, repository_id: str |
     if done.returncode:
         raise RuntimeError(f"git clone failed: {done.stderr.strip()[-300:]}")
     got = local(target, identity(repository_id, name))
-    return Source(got.repository_id, got.folder, "GIT", got.branch, got.revision, True)
+    return Source(got.repository_id, got.folder, "GIT", got.branch, got.revision, True, url)
 
 
 def acquire(workspace: str, path: str | None = None, git_url: str | None = None, ref: str | None = None, repository_id: str | None = None) -> Source:
@@ -77,26 +80,55 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """A stored document, one row; unknown fields are left out."""
-    schema = (
-        "schemaVersion string, indexerVersion string, runMetadata map<string,string>, source map<string,string>, completeness map<string,string>, "
-        f"scopes array<struct<{_struct(SCOPES)}>>, entities array<struct<{_struct(ENTITIES)}>>, relationships array<struct<{_struct(RELATIONSHIPS)}>>, diagnostics array<struct<{_struct(DIAGNOSTICS)}>>"
-    )
+    """A stored document, one row; unknown fields are left out, parts that are objects come as JSON texts."""
+    parts = "schemaVersion string, indexerVersion string, runMetadata string, source string, completeness string, metadata string"
+    arrays = {"scopes": SCOPES, "entities": ENTITIES, "relationships": RELATIONSHIPS, "diagnostics": DIAGNOSTICS}
+    schema = parts + "".join(f", {n} array<{_renamed(StructType.fromDDL(ddl)).simpleString()}>" for n, ddl in arrays.items())
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def _struct(ddl: str) -> str:
-    """A table's columns as fields, under their names in stored documents."""
-    from pyspark.sql.types import StructType
+def table_of(document: DataFrame, name: str, ddl: str) -> DataFrame:
+    """One array of a document as a table with our names; absent arrays are empty."""
+    rows = document.select(F.explode(name).alias("r")).select("r.*")
+    return rows.select(*(F.col(_camel(f.name)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl).fields))
 
-    camel = lambda n: re.sub(r"_(\w)", lambda m: m.group(1).upper(), n)
-    return ",".join(f"{camel(f.name)}:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl).fields)
+
+def _camel(name: str) -> str:
+    return re.sub(r"_(\w)", lambda m: m.group(1).upper(), name)
+
+
+def _renamed(kind: DataType) -> DataType:
+    """A type with its fields under their names in stored documents."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(_camel(f.name), _renamed(f.dataType)) for f in kind.fields])
+    return ArrayType(_renamed(kind.elementType)) if isinstance(kind, ArrayType) else kind
+
+
+SNAPSHOT_VERSION = "1"
+
+
+def write_snapshot_json(spark: SparkSession, snapshot: DataFrame, path: str, total: int | None = None) -> None:
+    """One JSON object with the files by path, as one file below the folder ``path``."""
+    row = F.struct(*(F.col(f.name).alias(_camel(f.name)) for f in StructType.fromDDL(SNAPSHOT).fields))
+    # one repository's files
+    one = snapshot.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relative_path", row)))).alias("filesByPath"), F.count("*").alias("n"))
+    made = F.struct(F.lit(SNAPSHOT_VERSION).alias("schemaVersion"), F.current_timestamp().alias("createdAt"), "filesByPath", F.create_map(F.lit("indexedFileCount"), F.col("n"), F.lit("totalFileCount"), F.lit(total).cast("long") if total is not None else F.col("n")).alias("metadata"))
+    one.select(F.to_json(made, {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored snapshot; None if there is none to read, so that all files count as added."""
+    """A stored snapshot, Parquet or JSON; None if there is none to read, so that all files count as added."""
     try:
-        return spark.read.schema(SNAPSHOT).parquet(path)
+        try:
+            found = spark.read.schema(SNAPSHOT).parquet(path)
+            found.isEmpty()
+            return found
+        except Exception:
+            entry = _renamed(StructType.fromDDL(SNAPSHOT)).simpleString()
+            rows = spark.read.schema(f"schemaVersion string, filesByPath map<string,{entry}>").option("multiLine", True).json(path)
+            if rows.where("filesByPath is not null").isEmpty():
+                raise ValueError("no files by path") from None
+            return rows.select(F.explode(F.map_values("filesByPath")).alias("r")).select(*(F.col(f"r.{_camel(f.name)}").cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SNAPSHOT).fields))
     except Exception as error:
-        print(f"no previous snapshot at {path}: {str(error)[:200]}")
+        print(f"no previous snapshot at {path}: {str(error)[:200]}", file=sys.stderr)
         return None
