@@ -49,7 +49,12 @@ def _winnowed(gram: int, window: int):
 
 
 def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
-    """docs (doc_id long, text string, ...) -> its columns with the text that stays, and n_lines, n_removed before them in ``report``.
+    """What ``deduped`` gives, with the columns of docs beside ``report``; for docs without a column of that name."""
+    return deduped(docs, gram, window).select("report", "row.*")
+
+
+def deduped(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
+    """docs (doc_id long, text string, ...) -> (row, report): its columns with the text that stays, and n_lines, n_removed before.
 
     Lines end at a newline; blank ones count for nothing and stay. A run is
     ``gram + window - 1`` lines in a row that are equal but for the amount of
@@ -57,7 +62,7 @@ def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     earlier (smaller doc_id, or earlier in the document) is deleted with its
     newline; runs are judged on the input. If no line but blank ones stays, the
     text is empty. A null text stays null. Rows that repeat a doc_id count as
-    one document, as for substrings; a null doc_id counts as the least. An
+    one document, as for substrings: equal rows keep the same lines; a null doc_id counts as the least. An
     empty table gives an empty one. Other columns pass through, whatever their names.
     """
     length = gram + window - 1
@@ -83,4 +88,4 @@ def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), *([packed.schema["rest"]] if others else [])])
     out = repeats.mark(plan, packed, finish, schema)
     at = {f.name: F.col(f"rest.c{i}") for i, f in enumerate(others)}
-    return out.select(F.struct("n_lines", "n_removed").alias("report"), *(at.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return out.select(F.struct(*(at.get(c, F.col(c)).alias(c) for c in docs.columns)).alias("row"), F.struct("n_lines", "n_removed").alias("report"))

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 2 << 20
-SLICE = 4 << 20
+SEGMENT = 1 << 19
+SLICE = 2 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D
