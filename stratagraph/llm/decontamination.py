@@ -7,9 +7,12 @@ rare words only; the word's place in the window gives the one start at which the
 window could stand (position filter), which must leave room within the document (length
 filter), and the words there are verified against the whole window.
 
-The index of the benchmark is broadcast in parts of ``INDEX_BYTES`` of item text at most,
-whatever the benchmark's size; parts are applied one after another to the same
-rows, so documents are never shuffled.
+Words are counted in one scan, by ``SLOTS`` hash slots, so the counts have a fixed
+size; which word of a window counts as rarest decides about work, never about
+results. Windows and their items are written tables. An index of up to
+``INDEX_BYTES`` of them is broadcast, and documents are not shuffled. Beyond that only
+two bitmaps of fixed size are: one of rare words, one of windows. Places that pass
+both are joined with the table of windows.
 """
 
 from __future__ import annotations
@@ -24,8 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-#: Bytes of benchmark text that one broadcast index holds.
-INDEX_BYTES = 8 << 20
+from .scratch import Scratch
+
+#: Slots by which words are counted.
+SLOTS = 1 << 20
+#: Bytes of the largest index that is broadcast.
+INDEX_BYTES = 32 << 20
+#: Bits of each bitmap, as a power of two.
+BITS = 27
+
+_WINDOWS = "value long, size int, token long, shift int, item string"
 
 
 @dataclass(frozen=True)
@@ -48,33 +59,88 @@ def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, first
 
 
-def build(names: list[str], text: pa.Array, counts: dict[int, int], window: int) -> Index:
-    h, first = _words(text)
-    seen: dict[tuple[int, int], tuple[int, int, set[int]]] = {}
-    for i in range(len(names)):
-        own = h[first[i] : first[i + 1]]
-        size = min(window, len(own))
-        if not size:
-            continue
-        rarity = np.array([counts.get(int(x), 0) for x in own])
-        values = wordhash.grams(own, size)
-        for at in range(len(values)):
-            shift = int(np.lexsort((own[at : at + size], rarity[at : at + size]))[0])
-            seen.setdefault((int(values[at]), size), (int(own[at + shift]), shift, set()))[2].add(i)
-    entries = sorted((token, shift, size, value, sorted(items)) for (value, size), (token, shift, items) in seen.items())
-    token = np.array([e[0] for e in entries], np.uint64)
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their words, each row's first word) of parts of a batch with a ``text``."""
+    _, offsets = wordhash.buffers(batch.column("text"))
+    for a, b in wordhash.slices(offsets):
+        part = batch.slice(a, b - a)
+        yield part, *_words(part.column("text"))
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+
+
+def _counted(wanted: np.ndarray | None):
+    """How often the words of each slot stand in a partition; only of ``wanted`` slots, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, h, _ in _parts(batch):
+                total += np.bincount(_slot(h), minlength=SLOTS)
+        on = np.flatnonzero(total) if wanted is None else wanted[total[wanted] > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on])], names=["slot", "n"])
+
+    return run
+
+
+def slot_counts(docs: DataFrame, texts: DataFrame) -> np.ndarray:
+    """Occurrences in docs of the words of each slot that a word of ``texts`` falls into; ``SLOTS`` numbers."""
+    counts = lambda frame, wanted: frame.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(wanted), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    wanted = np.sort(np.asarray(counts(texts, None)["slot"]))
+    out = np.zeros(SLOTS, np.int64)
+    if len(wanted):
+        found = counts(docs, wanted)
+        out[np.asarray(found["slot"])] = np.asarray(found["n"])
+    return out
+
+
+def _cut(counts: np.ndarray, window: int):
+    """The windows of each item, with their rarest words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, h, first in _parts(batch):
+                rarity, words = counts[_slot(h)], np.diff(first)
+                for size in np.unique(np.minimum(words, window)).tolist():
+                    if not size:
+                        continue
+                    start = wordhash.inside_rows(first, size)
+                    row = np.searchsorted(first, start, "right") - 1
+                    own = np.minimum(words, window)[row] == size
+                    start, row = start[own], row[own]
+                    best = start
+                    for j in range(1, size):
+                        at = start + j
+                        less = (rarity[at] < rarity[best]) | ((rarity[at] == rarity[best]) & (h[at] < h[best]))
+                        best = np.where(less, at, best)
+                    value = wordhash.gram_at(h, start, size)
+                    columns = [value.view(np.int64), np.full(len(start), size, np.int32), h[best].view(np.int64), (best - start).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), part.column("item").take(pa.array(row))], names=["value", "size", "token", "shift", "item"])
+
+    return run
+
+
+def index_of(windows: pa.Table, owners: pa.Table) -> Index:
+    """An index of distinct windows and of their distinct owners."""
+    token = np.asarray(windows["token"]).view(np.uint64)
+    order = np.argsort(token, kind="stable")
+    token = token[order]
     unique, at = np.unique(token, return_index=True)
-    lens = [len(e[4]) for e in entries]
-    return Index(
-        unique,
-        np.append(at, len(entries)).astype(np.int64),
-        np.array([e[1] for e in entries], np.int64),
-        np.array([e[2] for e in entries], np.int64),
-        np.array([e[3] for e in entries], np.uint64),
-        np.concatenate([[0], np.cumsum(lens)]).astype(np.int64),
-        np.array([i for e in entries for i in e[4]], np.int64),
-        names,
-    )
+    value, size, shift = (np.asarray(windows[c])[order] for c in ("value", "size", "shift"))
+    names, item = np.unique(np.array(owners["item"].to_pylist(), object), return_inverse=True) if len(owners) else (np.empty(0, object), np.empty(0, np.int64))
+    # both sides in order of (value, size)
+    entry = np.lexsort((size, value))
+    own = np.lexsort((item, np.asarray(owners["size"]), np.asarray(owners["value"])))
+    by = lambda table: np.stack([np.asarray(table["value"], np.int64), np.asarray(table["size"], np.int64)], 1)
+    keys = by(owners)[own]
+    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.empty(0, bool)
+    firsts = np.append(np.flatnonzero(fresh), len(keys))
+    begin, count = np.empty(len(entry), np.int64), np.empty(len(entry), np.int64)
+    begin[entry], count[entry] = firsts[:-1], np.diff(firsts)
+    _, places = _expand(begin, begin + count)
+    return Index(unique, np.append(at, len(token)).astype(np.int64), shift.astype(np.int64), size.astype(np.int64), value.view(np.uint64), np.concatenate([[0], np.cumsum(count)]).astype(np.int64), item[own][places].astype(np.int64), names.tolist())
 
 
 def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +174,12 @@ def _lists(values: pa.Array, row: np.ndarray, rows: int) -> pa.Array:
 
 
 def _matched(index: Index):
-    """Adds the spans (start, end by words, flattened) and the items that one index finds."""
+    """Adds n_words, the spans (start, end by words, flattened) and the items found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(index.names, pa.string())
         for batch in batches:
-            _, offsets = wordhash.buffers(batch.column("text"))
-            for a, b in wordhash.slices(offsets):
-                part = batch.slice(a, b - a)
-                h, first = _words(part.column("text"))
+            for part, h, first in _parts(batch):
                 start, entry = occurrences(index, h, first)
                 order = np.argsort(start, kind="stable")
                 start, entry = start[order], entry[order]
@@ -123,62 +187,75 @@ def _matched(index: Index):
                 low = (start - first[row]).astype(np.int32)
                 spans = np.stack([low, low + index.size[entry].astype(np.int32)], 1).ravel()
                 which, at = _expand(index.owner[entry], index.owner[entry + 1])
-                pair = np.unique(row[which] * len(index.names) + index.items[at]) if len(at) else np.empty(0, np.int64)
-                names = pa.array(index.names, pa.string()).take(pa.array(pair % max(1, len(index.names))))
-                spans = _lists(pa.array(spans), np.repeat(row, 2), b - a)
-                items = _lists(names, pair // max(1, len(index.names)), b - a)
-                old = batch.schema.names
-                if "spans" in old:
-                    spans, items = _joined(part.column("spans"), spans), _joined(part.column("items"), items)
-                kept = [n for n in old if n not in ("n_words", "spans", "items")]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(np.diff(first)), spans, items], names=[*kept, "n_words", "spans", "items"])
+                pair = np.unique(row[which] * len(names) + index.items[at]) if len(at) else np.empty(0, np.int64)
+                items = names.take(pa.array(pair % max(1, len(names))))
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(np.diff(first)), _lists(pa.array(spans), np.repeat(row, 2), n), _lists(items, pair // max(1, len(names)), n)],
+                    names=[*part.schema.names, "n_words", "spans", "items"],
+                )
 
     return run
 
 
-def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([x + y for x, y in zip(a.to_pylist(), b.to_pylist())], b.type)
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """2 ** ``BITS`` bits, of which those are set that the leading bits of the values name."""
+    place = F.shiftrightunsigned("x", 64 - BITS)
+    rows = values.select((F.shiftright(place, 6)).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {64 - BITS}) & 63 as int))").alias("bit"))
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << BITS - 6, np.uint64)
+    out[np.asarray(found["word"])] = np.asarray(found["bits"]).view(np.uint64)
+    return out
+
+
+def _set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - BITS)
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _counted(vocabulary: np.ndarray):
-    """How often each word of a sorted vocabulary stands in the batches of a partition."""
+def _candidates(tokens: np.ndarray, values: np.ndarray, shapes: list[tuple[int, int]]):
+    """Places where a window may stand: a rare word stands at a window's ``shift``, and the window's hash is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            _, offsets = wordhash.buffers(batch.column("text"))
-            for a, b in wordhash.slices(offsets):
-                h, _ = _words(batch.column("text").slice(a, b - a))
-                near = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                total += np.bincount(near[vocabulary[near] == h], minlength=len(vocabulary))
-        on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on])], names=["word", "n"])
+            for part, h, first in _parts(batch):
+                place = np.flatnonzero(_set(tokens, h))
+                row = np.searchsorted(first, place, "right") - 1
+                for size, shift in shapes:
+                    start = place - shift
+                    fits = (start >= first[row]) & (start + size <= first[row + 1])
+                    start, at = start[fits], row[fits]
+                    value = wordhash.gram_at(h, start, size)
+                    on = _set(values, value)
+                    start, at, value = start[on], at[on], value[on]
+                    keys = [part.column(c).take(pa.array(at)) for c in ("k1", "k2")]
+                    columns = [value.view(np.int64), np.full(len(at), size, np.int32), (start - first[at]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, columns)], names=["k1", "k2", "value", "size", "start"])
 
     return run
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, window: int) -> list[Index]:
-    """The benchmark's indexes; its text reaches the driver in parts of ``INDEX_BYTES``, and longer items whole."""
-    texts = benchmark.select(F.col("item_id").cast("string").alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.where("name is not null")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 + size // INDEX_BYTES
-    out = []
-    for part in range(parts):
-        own = texts if parts == 1 else texts.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == part)
-        found = own.toArrow()
-        text = found["text"].combine_chunks()
-        h, _ = _words(text)
-        if not len(h):
-            continue
-        vocabulary = np.unique(h)
-        tallied = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-        known = sorted(set(found["name"].to_pylist()))
-        at = {name: i for i, name in enumerate(known)}
-        index = build(found["name"].to_pylist(), text, {int(vocabulary[r.word]): r.n for r in tallied}, window)
-        places = np.array([at[name] for name in index.names], np.int64)
-        out.append(Index(index.token, index.first, index.shift, index.size, index.value, index.owner, places[index.items], known))
-    return out
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, _, first in _parts(batch):
+            kept = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(np.diff(first))], names=[*kept, "n_words"])
+
+
+def _joined(rows: DataFrame, windows: DataFrame, owners: DataFrame, scratch: Scratch) -> DataFrame:
+    """What ``_matched`` gives, for any number of windows. Equal texts are judged once, by two hashes of the text."""
+    rows = rows.withColumns({"k1": F.xxhash64(F.lit(1), "text"), "k2": F.xxhash64(F.lit(2), "text")})
+    shapes = sorted((r["size"], r["shift"]) for r in windows.select("size", "shift").distinct().collect())
+    found = rows.select("k1", "k2", "text").mapInArrow(_candidates(_bitmap(windows.select(F.col("token").alias("x"))), _bitmap(windows.select(F.col("value").alias("x"))), shapes), "k1 long, k2 long, value long, size int, start int")
+    hits = scratch.save(found.distinct().join(windows.select("value", "size"), ["value", "size"], "left_semi"), "hits")
+    key = ["k1", "k2"]
+    spans = hits.groupBy(*key).agg(F.flatten(F.array_sort(F.collect_list(F.array("start", F.col("start") + F.col("size"))))).alias("spans"))
+    items = hits.select(*key, "value", "size").distinct().join(owners, ["value", "size"]).select(*key, "item").distinct().groupBy(*key).agg(F.collect_list("item").alias("items"))
+    # written, so that the join may split the partition of a text that very many rows have
+    judged = scratch.save(spans.join(items, key), "judged")
+    whole = rows.mapInArrow(_numbered, T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("n_words", T.LongType())]))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return whole.join(judged, key, "left").select("row", "n_words", F.coalesce("spans", none("int")).alias("spans"), F.coalesce("items", none("string")).alias("items"))
 
 
 def _covered(spans: F.Column) -> F.Column:
@@ -200,11 +277,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     that share an id are one. Rows that repeat a doc_id, or have none, are judged as they are.
     An empty table gives an empty one, an empty benchmark hits nothing.
     """
+    scratch = Scratch(docs.sparkSession, "decontamination")
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    found = rows
-    more = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
-    schema = T.StructType([*rows.schema.fields, *more])
-    nothing = Index(*(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64)), [])
-    for index in indexes(docs, benchmark, window) or [nothing]:
-        found = found.mapInArrow(_matched(index), schema)
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
+    cut = scratch.save(texts.mapInArrow(_cut(slot_counts(docs, texts), window), _WINDOWS), "cut")
+    windows = scratch.save(cut.groupBy("value", "size").agg(F.min(F.struct("token", "shift")).alias("t")).select("value", "size", "t.token", "t.shift"), "windows")
+    owners = scratch.save(cut.select("value", "size", "item").distinct(), "owners")
+    scratch.drop(cut)
+    size = 24 * windows.count() + (owners.agg(F.sum(F.octet_length("item") + 64)).first()[0] or 0)
+    if size <= INDEX_BYTES:
+        schema = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+        found = rows.mapInArrow(_matched(index_of(windows.toArrow(), owners.toArrow())), schema)
+        scratch.close()
+    else:
+        found = _joined(rows, windows, owners, scratch)
     return found.select("row", "n_words", _covered(F.col("spans")).cast("long").alias("n_hit"), "spans", F.array_sort(F.array_distinct("items")).alias("items"))
