@@ -22,10 +22,10 @@ MAP_SCHEMA = "virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs -> (doc_id, size, text_crc32, virtual_slot); size is the UTF-8 bytes of the text and 1."""
+    """docs -> (doc_id, size, text_crc32, virtual_slot); size is the UTF-8 bytes of the text and 1. Rows without an id have no key to hash, so their place in the table is hashed with the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    slot = F.pmod(F.xxhash64(doc_id, text), F.lit(SLOTS)).cast("int")
+    slot = F.pmod(F.xxhash64(F.coalesce(doc_id, F.monotonically_increasing_id()), text), F.lit(SLOTS)).cast("int")
     return docs.select(doc_id.alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), slot.alias("virtual_slot"))
 
 
@@ -93,13 +93,15 @@ def shard(docs: DataFrame, shards: int = 16, folder: str | None = None, version:
     Shard sizes in bytes are near equal. Writes the map as ``version`` below
     ``folder`` (None: the shared folder); with ``previous``, that version is edited
     instead of making one anew. slot: the row's place in its shard, gapless from
-    0, by virtual slot and doc_id. A null text counts as empty. Equal rows lie in
-    one virtual slot; rows that only share a doc_id, or have none, are spread by
-    their text. An empty table gives an empty one; other columns are ignored.
+    0, by virtual slot and doc_id. A null text counts as empty. Equal rows with an id lie in
+    one virtual slot; rows that share a doc_id are spread by their text, rows without one by their place in the table.
+    An empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
-    folder = folder or Scratch(spark, "slot-map").path("map")
-    rows = sized(docs)
+    scratch = Scratch(spark, "slot-map")
+    folder = folder or scratch.path("map")
+    # texts are read once, and slots stay as they were counted
+    rows = scratch.save(sized(docs), "sized")
     sizes = slot_sizes(rows)
     if previous is None:
         owners = first_map(sizes, shards)
