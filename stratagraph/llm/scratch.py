@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +15,14 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (as in tests), a folder of this process, set for the session."""
+    """``spark.checkpoint.dir``; where that is unset and all runs in one process (as in tests), a folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="stratagraph-"))
         found = _OWN[0]
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -27,7 +30,8 @@ class Scratch:
     """Parquet tables of one operator call, below a folder of its own.
 
     ``drop`` deletes a table that nothing reads any more; what a returned
-    DataFrame still reads goes when the process ends.
+    DataFrame still reads goes with ``close``, or when the process ends. What a
+    killed process left goes with ``sweep``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -35,6 +39,11 @@ class Scratch:
         self._n = 0
         atexit.register(self._remove, self.root)
 
+    def close(self) -> None:
+        """Delete all tables; no DataFrame that reads one may be used after this."""
+        self._remove(self.root)
+        atexit.unregister(self._remove)
+
     def _remove(self, path: str) -> None:
         try:
             jvm = self.spark._jvm
@@ -59,6 +68,18 @@ class Scratch:
             self._remove(frame._scratch_path)
 
 
+def sweep(spark: SparkSession, days: float = 7) -> int:
+    """Delete folders of operators that nothing was written to for ``days``; gives their number. For folders that no running job uses any more."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files, gone = top.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for found in files.listStatus(top) if files.exists(top) else ():
+        name, own = found.getPath().getName(), files.listStatus(found.getPath()) if found.isDirectory() else ()
+        last = max([found.getModificationTime(), *(x.getModificationTime() for x in own)])
+        if re.fullmatch(r"[a-z-]+-[0-9a-f]{32}", name) and last < (time.time() - 86400 * days) * 1000:
+            gone += bool(files.delete(found.getPath(), True))
+    return gone
+
+
 def input_bytes(frame: DataFrame) -> int:
     """What the optimiser holds for the size of the tables that a frame reads; costs no job."""
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
