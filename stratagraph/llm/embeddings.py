@@ -47,9 +47,9 @@ _DDL = "vec_id long, dims int, d1 long, d2 long, vec binary"
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    """Rows of length 1, in doubles; rows are scaled first, so that lengths of huge and tiny ones are finite and not zero."""
+    """Rows of length 1, in doubles; rows are first scaled by powers of two, which rounds nothing, so that lengths of huge and tiny ones are finite and not zero."""
     vectors = vectors.astype(np.float64)
-    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
