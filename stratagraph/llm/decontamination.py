@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .scratch import Scratch
+from .scratch import Scratch, column
 
 #: Slots by which words are counted.
 SLOTS = 1 << 20
@@ -278,7 +278,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     An empty table gives an empty one, an empty benchmark hits nothing.
     """
     scratch = Scratch(docs.sparkSession, "decontamination")
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
     cut = scratch.save(texts.mapInArrow(_cut(slot_counts(docs, texts), window), _WINDOWS), "cut")
     windows = scratch.save(cut.groupBy("value", "size").agg(F.min(F.struct("token", "shift")).alias("t")).select("value", "size", "t.token", "t.shift"), "windows")

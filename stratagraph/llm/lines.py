@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import repeats, wordhash
+from .scratch import column
 
 _BLANK = " \t\n\r\x0b\x0c"
 
@@ -68,7 +69,7 @@ def deduped(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     length = gram + window - 1
     plan = repeats.Plan(line_units, _winnowed(gram, window), gram, length)
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    rest = [F.struct(*(docs[f"`{f.name}`"].alias(f"c{i}") for i, f in enumerate(others))).alias("rest")] if others else []
+    rest = [F.struct(*(column(docs, f.name).alias(f"c{i}") for i, f in enumerate(others))).alias("rest")] if others else []
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
 
     def finish(table: pa.Table, marked: np.ndarray, first: np.ndarray) -> pa.Table:
@@ -88,4 +89,4 @@ def deduped(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), *([packed.schema["rest"]] if others else [])])
     out = repeats.mark(plan, packed, finish, schema)
     at = {f.name: F.col(f"rest.c{i}") for i, f in enumerate(others)}
-    return out.select(F.struct(*(at.get(c, F.col(c)).alias(c) for c in docs.columns)).alias("row"), F.struct("n_lines", "n_removed").alias("report"))
+    return out.select(F.struct(*((at[c] if c in at else F.col(c)).alias(c) for c in docs.columns)).alias("row"), F.struct("n_lines", "n_removed").alias("report"))

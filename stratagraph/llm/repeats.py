@@ -144,7 +144,7 @@ def _send(plan: Plan, buckets: Buckets):
         for batch in batches:
             keys = np.asarray(batch.column("row_key"))
             data, offsets = wordhash.buffers(batch.column("text"))
-            for a, b in wordhash.slices(offsets, 2 * wordhash.SLICE):
+            for a, b in wordhash.slices(offsets, 4 * wordhash.SLICE):
                 h, first = plan.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 place, value = plan.anchors(h, first)
                 if not len(place):

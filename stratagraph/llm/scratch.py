@@ -8,7 +8,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -80,6 +80,11 @@ def sweep(spark: SparkSession, days: float = 7) -> int:
     return gone
 
 
+def column(frame: DataFrame, name: str) -> Column:
+    """A column by its whole name, whatever is in it."""
+    return frame["`" + name.replace("`", "``") + "`"]
+
+
 def input_bytes(frame: DataFrame) -> int:
     """What the optimiser holds for the size of the tables that a frame reads; costs no job."""
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()

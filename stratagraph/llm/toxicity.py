@@ -6,7 +6,7 @@ Terms are lower-cased words and beginnings of words, hashed into ``TERMS`` slots
 the ``CHOSEN`` slots that tell most about the label on the training rows have weights.
 
 The machine is fitted on the driver on ``TRAIN_ROWS`` labelled rows at most, chosen
-by a hash of doc_id, so fitting costs the same at any size; scoring reads
+by a hash of doc_id and text, so fitting costs the same at any size, also where rows share an id; scoring reads
 every whole text once, without a shuffle.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
+from .scratch import column
 
 TERMS = 1 << 18
 #: Bytes of the beginnings of longer words that are terms too, so that a stem is known under any ending.
@@ -144,7 +145,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         for rows, row, slot in terms(batch.column("text")):
             found += np.split(slot, np.searchsorted(row, np.arange(1, rows)))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], names=["toxic", "slots"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lot", "toxic")), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], names=["doc_id", "lot", "toxic", "slots"])
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -153,13 +154,15 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
-    """Fit on up to ``rows`` labelled documents that are not held out, those with the least hash of doc_id."""
+    """Fit on up to ``rows`` labelled documents that are not held out, those with the least hash of doc_id; where rows share an id, on as many texts at most. Equal rows count once."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    ids = ids.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    ids = ids.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most ``rows`` pairs of numbers are broadcast
-    found = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_features, "toxic int, slots array<int>").toArrow()
+    labelled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("lot"), "toxic", "text")
+    found = labelled.mapInArrow(_features, "doc_id long, lot long, toxic int, slots array<int>").dropDuplicates(["doc_id", "lot", "toxic"])
+    found = found.orderBy("lot", "doc_id", "toxic").limit(rows).select("toxic", "slots").toArrow()
     slots = [np.asarray(x.values, np.int64) for x in found["slots"]]
     return fit(slots, np.asarray(found["toxic"], np.float64))
 
@@ -175,7 +178,7 @@ def _scored(machine: Machine):
 
 def scored_rows(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs (text string, ...) -> (row, score): each row as a struct of its columns, and its score."""
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scored(machine), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
