@@ -6,19 +6,24 @@ tree over the free room of windows finds it: a leaf counts windows with just tha
 much room, and the search for the least sufficient leaf takes log2(capacity) steps, however
 many windows are open.
 
-Pieces are dealt into groups of about ``packing.GROUP_BYTES`` of input by a hash
-of doc_id and start; a group is packed in one task and makes its rows of the matrix.
+Pieces are dealt into groups of about ``packing.GROUP_BYTES`` of input as ``packing`` does;
+a group is packed in one task and makes its rows of the matrix. ``write_matrices``
+stores them as plain binary files, written by the tasks.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import _PIECE_DDL, GROUP_BYTES, pieces
-from .scratch import pieces_for
+from .packing import dealt
 
 
 class RoomTree:
@@ -118,13 +123,73 @@ def token_matrices(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     padding; ids: ``capacity`` ids in the numpy type ``stored``, padded with ``pad_id``;
     position_ids: as many 16-bit positions (32-bit over 65536) that start at 0 with
     each piece and with the padding. A document is its ids, without added special
-    tokens, then ``end_id``; null and empty texts are that id alone. Rows that
+    tokens, then ``end_id``; null and empty texts are that id alone. Ids beyond the range of ``stored`` raise. Rows that
     repeat a doc_id, or have none, are documents of their own. An empty table
     gives an empty one; other columns are ignored.
     """
-    groups = pieces_for(docs, GROUP_BYTES, 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(pieces(tokenizer, capacity, end_id, stored), _PIECE_DDL)
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    rows = dealt(docs, tokenizer, capacity, end_id, stored, pad_id)
     ddl = "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, n_tokens int, ids binary, position_ids binary"
     return rows.groupBy("pack_group").applyInArrow(_matrix(capacity, pad_id, stored), ddl)
+
+
+_FILES = "part long, windows long, n_tokens long, ids_crc32 long, cu_seqlens_crc32 long"
+
+
+def _put(files: fs.FileSystem, path: str, data: bytes) -> None:
+    """Whole or not at all: a task that is run again, or twice at once, ends with the same file."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    with files.open_output_stream(own) as out:
+        out.write(data)
+    files.move(own, path)
+
+
+def _written(folder: str):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        files, root = fs.FileSystem.from_uri(folder)
+        part = key[0].as_py()
+        table = table.sort_by("sequence_id")
+        ids, positions = (b"".join(table[c].to_pylist()) for c in ("ids", "position_ids"))
+        ends = table["cu_seqlens"].combine_chunks()
+        flat = np.asarray(ends.flatten(), "<i4")
+        # each window's number of entries, then all entries
+        lengths = np.concatenate([[len(table)], np.diff(np.asarray(ends.offsets)), flat]).astype("<i4").tobytes()
+        for kind, data in (("ids", ids), ("positions", positions), ("cu_seqlens", lengths)):
+            _put(files, f"{root}/part-{part:06d}.{kind}.bin", data)
+        row = [part, len(table), int(np.asarray(table["n_tokens"], np.int64).sum()), zlib.crc32(ids), zlib.crc32(lengths)]
+        return pa.table([pa.array([x], pa.int64()) for x in row], names=[f.split()[0] for f in _FILES.split(", ")])
+
+    return run
+
+
+def write_matrices(matrices: DataFrame, folder: str, capacity: int = 2048, stored: str = "<u2") -> DataFrame:
+    """What ``token_matrices`` gives, as plain binary files -> (part, windows, n_tokens, ids_crc32, cu_seqlens_crc32), a row for each part.
+
+    ``folder``: a URI that pyarrow's file systems know and all executors reach. A
+    part is one group of windows: ``part-N.ids.bin`` and ``part-N.positions.bin`` hold a row
+    of ``capacity`` numbers for each window, in order of sequence_id; ``part-N.cu_seqlens.bin``
+    holds 32-bit numbers: the windows, each one's number of entries, and all entries.
+    ``layout.json`` names the types. Tasks write the files, each whole before it gets its
+    name, so tasks that are run again leave the same files. An empty table gives no parts.
+    """
+    files, root = fs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    rows = matrices.withColumn("part", F.shiftright("sequence_id", 32)).groupBy("part").applyInArrow(_written(folder), _FILES)
+    spark = matrices.sparkSession
+    rows.write.mode("overwrite").parquet(f"{folder}/parts")
+    layout = {"capacity": capacity, "ids": stored, "positions": "<u2" if capacity <= 65536 else "<u4", "cu_seqlens": "<i4"}
+    _put(files, f"{root}/layout.json", json.dumps(layout).encode())
+    return spark.read.schema(_FILES).parquet(f"{folder}/parts")
+
+
+def read_part(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(ids, positions, cumulative lengths of each window) of one part."""
+    files, root = fs.FileSystem.from_uri(folder)
+
+    def raw(name: str) -> bytes:
+        with files.open_input_stream(f"{root}/{name}") as file:
+            return file.read()
+
+    layout = json.loads(raw("layout.json"))
+    ids, positions, lengths = (np.frombuffer(raw(f"part-{part:06d}.{k}.bin"), layout[k]) for k in ("ids", "positions", "cu_seqlens"))
+    n = int(lengths[0]) if len(lengths) else 0
+    return ids.reshape(-1, layout["capacity"]), positions.reshape(-1, layout["capacity"]), np.split(lengths[1 + n :], np.cumsum(lengths[1 : 1 + n])[:-1])

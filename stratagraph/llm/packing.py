@@ -7,9 +7,9 @@ by length, each with its count split into powers of two, until the free room
 is reached exactly or all lengths are in. The best sum is traced back to counts
 of lengths, and that multiset fills as many windows as the counts allow.
 
-Remainders are dealt into groups of about ``GROUP_BYTES`` of input by a hash of
-doc_id and start, so equal texts or lengths do not gather in one task, and a group fits
-in memory; each group leaves a few windows short at most.
+Pieces are dealt into groups of about ``GROUP_BYTES`` of input by a hash of
+doc_id, start, content and the row's place in its table, so neither equal texts or lengths nor rows
+that share an id gather in one task, and a group fits in memory; each group leaves a few windows short at most.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(capacity: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        order = pa.array(np.lexsort((np.asarray(table["start"]), np.asarray(table["doc_id"].fill_null(-(1 << 63))))))
+        order = pa.array(np.lexsort((np.asarray(table["ids_crc32"]), np.asarray(table["start"]), np.asarray(table["doc_id"].fill_null(-(1 << 63))))))
         table = table.take(order)
         sequence, offset = place(np.asarray(table["length"]), capacity)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
@@ -121,6 +121,18 @@ def _packed(capacity: int):
     return run
 
 
+def dealt(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, stored: str | None, *others: int) -> DataFrame:
+    """The pieces of docs with their ``pack_group``. Raises if an id does not fit ``stored``."""
+    groups = pieces_for(docs, GROUP_BYTES, 1)
+    most = max(tokens.largest_id(tokenizer), end_id, *others)
+    if stored is not None and most > np.iinfo(stored).max:
+        raise ValueError(f"id {most} does not fit {stored}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(pieces(tokenizer, capacity, end_id, stored), _PIECE_DDL)
+    lot = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    return rows.withColumn("pack_group", F.pmod(lot, F.lit(groups)).cast("int"))
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, stored: str | None = "<u4") -> DataFrame:
     """docs (doc_id long, text string, ...) -> (doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset), a row for each piece.
 
@@ -129,12 +141,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     is cut at multiples of ``capacity``, so no id is lost or doubled. Pieces of one
     sequence_id lie in it one after another from offset 0 and hold at most ``capacity`` ids;
     the rest of the sequence is padding. ids: bytes of the numpy type
-    ``stored``, or null without one; ids_crc32 is of little-endian unsigned 32-bit ids in any case. Rows that repeat a doc_id, or have none, are
+    ``stored``, or null without one, and ids over its range raise; ids_crc32 is of little-endian unsigned 32-bit ids in any case. Rows that repeat a doc_id, or have none, are
     documents of their own. An empty table gives an empty one; other columns are ignored.
     """
-    groups = pieces_for(docs, GROUP_BYTES, 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(pieces(tokenizer, capacity, end_id, stored), _PIECE_DDL)
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    rows = dealt(docs, tokenizer, capacity, end_id, stored)
     ddl = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset int"
     return rows.groupBy("pack_group").applyInArrow(_packed(capacity), ddl)

@@ -153,6 +153,15 @@ def _byte_pairs(model: dict):
     return tiktoken.Encoding("byte-pairs", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}), size
 
 
+def largest_id(path: str) -> int:
+    """The largest id of a tokenizer's file, added tokens included."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    vocab = made["model"]["vocab"]
+    ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
+    return max([*ids, *(x["id"] for x in made.get("added_tokens") or ())], default=0)
+
+
 def encoder(path: str) -> Encoder:
     """The process's encoder of a file."""
     if path not in _loaded:
