@@ -353,7 +353,18 @@ def validator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess.violations(scopes, entities, relations).groupBy("message").agg(F.count("*").alias("n"))
 
 
-@_query()  # DuckDB has no CRC32; tested against zlib
+# CRC-32 by its table of 256 remainders, over the bytes of a text
+_CRC32 = """crc AS (SELECT list(r ORDER BY i) AS r FROM (
+  SELECT i, list_reduce(list_concat([i], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS r FROM range(0, 256) t(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of a text, beside the table ``crc``."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda j: CAST(concat('0x', substr(hex(encode({text})), CAST(2 * j + 1 AS BIGINT), 2)) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: xor(crc.r[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8)))"
+
+
+@_query(f"{_FILES}, {_CRC32} SELECT doc_id, format('{{:x}}', {_crc32('relative_path')}) AS token FROM files, crc")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual.files(spark, sf_dir).select("doc_id", stable_token(F.col("relative_path")).alias("token"))
 

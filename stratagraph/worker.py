@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
 import time
 import uuid
 from dataclasses import asdict, dataclass, fields
@@ -17,6 +16,7 @@ from .operators.incremental import snapshot
 from .parse.runtime import Configuration, default_backend, detect
 from .plans import document, pipeline
 from .sources import repository
+from .workspace import local, remove, shared, uri
 
 
 @dataclass(frozen=True)
@@ -48,31 +48,6 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def workspace_of(spark: SparkSession, given: str | None = None) -> str:
-    """The folder given, else ``spark.checkpoint.dir``: one that the whole cluster shares. Only where all runs in one process may it be a new local one."""
-    found = given or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext._jsc.sc().isLocal():
-            raise ValueError("a workspace that the cluster shares must be given, or spark.checkpoint.dir be set")
-        found = tempfile.mkdtemp(prefix="stratagraph-")
-    return found.rstrip("/")
-
-
-def _uri(path: str) -> str:
-    return path if "://" in path else f"file://{os.path.abspath(path)}"
-
-
-def _local(uri: str) -> str:
-    if "://" in uri and not uri.startswith("file://"):
-        raise ValueError("git needs a workspace on a file system that all machines mount")
-    return uri.removeprefix("file://")
-
-
-def _remove(spark: SparkSession, uri: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def run_job(spark: SparkSession, request: JobRequest, workspace: str | None = None) -> dict:
     """Index what the request names. ``workspace``: a path or URI that the cluster shares. A path wins over a git URL.
 
@@ -85,29 +60,29 @@ def run_job(spark: SparkSession, request: JobRequest, workspace: str | None = No
         raise ValueError("outputPath must be given")
     job = safe_job_id(request.jobId or str(uuid.uuid4()))
     started, clock = _now(), time.perf_counter()
-    work = f"{_uri(workspace_of(spark, workspace))}/{job}-{uuid.uuid4().hex}"
+    work = f"{shared(spark, workspace)}/{job}-{uuid.uuid4().hex}"
     out = {"jobId": job, "startedAt": started, "outputPath": request.outputPath}
     try:
         clone = None if request.sourcePath else request.gitUrl
         if clone:
-            os.makedirs(_local(work), exist_ok=True)
-        source = repository.acquire(_local(work) if clone else "", request.sourcePath, clone, request.gitRef, request.repositoryId)
+            os.makedirs(local(work), exist_ok=True)
+        source = repository.acquire(local(work) if clone else "", request.sourcePath, clone, request.gitRef, request.repositoryId)
         result = pipeline.index(spark, repository.files(spark, source.folder), f"{work}/tables", source.repository_id, source.acquisition, default_backend())
         previous = repository.read_snapshot(spark, request.snapshotIn) if request.snapshotIn else None
         _, plan = pipeline.refresh(spark, result, previous)
         if request.outputPath.endswith(".json"):
-            top, manifest = document.write(spark, result, _uri(request.outputPath), source, pipeline.VERSION, started)
+            top, manifest = document.write(spark, result, uri(request.outputPath), source, pipeline.VERSION, started)
             paths = plan.first().asDict()
             summary = document.console_summary(top, manifest, source, request.outputPath, paths, detect(Configuration.from_environment()).detail) | {"exportId": manifest["exportId"]}
         else:
-            manifest = pipeline.export_index(spark, result, _uri(request.outputPath))
+            manifest = pipeline.export_index(spark, result, uri(request.outputPath))
             summary = plan.drop("parse_paths", "removed_paths").first().asDict() | {"exportId": manifest["exportId"]}
         if request.snapshotOut:
             taken = snapshot(result.inventory)
             if request.snapshotOut.endswith(".json"):
-                repository.write_snapshot_json(spark, taken, _uri(request.snapshotOut), result.inventory.count())
+                repository.write_snapshot_json(spark, taken, uri(request.snapshotOut), result.inventory.count())
             else:
-                taken.write.mode("overwrite").parquet(_uri(request.snapshotOut))
+                taken.write.mode("overwrite").parquet(uri(request.snapshotOut))
         summary |= {"outcome": manifest["metadata"]["outcome"], "elapsedMs": int(1000 * (time.perf_counter() - clock))}
         return out | {"status": "SUCCESS", "finishedAt": _now(), "summary": summary}
     except Exception as error:
@@ -117,7 +92,7 @@ def run_job(spark: SparkSession, request: JobRequest, workspace: str | None = No
         failed = {"error": type(error).__name__, "message": str(error)[:500], "rootCauseType": type(root).__name__, "rootCause": str(root)[:500], "elapsedMs": int(1000 * (time.perf_counter() - clock))}
         return out | {"status": "FAILED", "finishedAt": _now(), "summary": failed}
     finally:
-        _remove(spark, work)
+        remove(spark, work)
 
 
 def run_file(spark: SparkSession, request_path: str, result_path: str, workspace: str | None = None) -> dict:
