@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens, wordhash
+from .memory import released
 from .scratch import Scratch
 
 STEP = 1 << 20
@@ -67,7 +68,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
     known = _stored(docs, cache)
     if known is not None:
         distinct = distinct.join(known.where(F.col("version") == version).select("digest"), "digest", "left_anti")
-    distinct.mapInArrow(_count(tokenizer, version), SCHEMA).write.mode("append").parquet(cache)
+    distinct.mapInArrow(released(_count(tokenizer, version)), SCHEMA).write.mode("append").parquet(cache)
     # written, so that the join may split the partition of a digest that very many documents have
     stored = scratch.save(_stored(docs, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "stored")
     sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")

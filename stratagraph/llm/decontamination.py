@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .scratch import Scratch, column
+from .memory import released
+from .scratch import Scratch, as_rows, text_of
 
 #: Slots by which words are counted.
 SLOTS = 1 << 20
@@ -60,11 +61,11 @@ def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, their words, each row's first word) of parts of a batch with a ``text``."""
-    _, offsets = wordhash.buffers(batch.column("text"))
+    """(rows, their words, each row's first word) of parts of a batch with texts."""
+    _, offsets = wordhash.buffers(text_of(batch))
     for a, b in wordhash.slices(offsets):
         part = batch.slice(a, b - a)
-        yield part, *_words(part.column("text"))
+        yield part, *_words(text_of(part))
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -87,7 +88,7 @@ def _counted(wanted: np.ndarray | None):
 
 def slot_counts(docs: DataFrame, texts: DataFrame) -> np.ndarray:
     """Occurrences in docs of the words of each slot that a word of ``texts`` falls into; ``SLOTS`` numbers."""
-    counts = lambda frame, wanted: frame.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(wanted), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = lambda frame, wanted: frame.select(F.col("text").cast("string").alias("text")).mapInArrow(released(_counted(wanted)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     wanted = np.sort(np.asarray(counts(texts, None)["slot"]))
     out = np.zeros(SLOTS, np.int64)
     if len(wanted):
@@ -244,16 +245,17 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(rows: DataFrame, windows: DataFrame, owners: DataFrame, scratch: Scratch) -> DataFrame:
     """What ``_matched`` gives, for any number of windows. Equal texts are judged once, by two hashes of the text."""
-    rows = rows.withColumns({"k1": F.xxhash64(F.lit(1), "text"), "k2": F.xxhash64(F.lit(2), "text")})
+    text = F.col("text" if "text" in rows.columns else "row.text")
+    rows = rows.withColumns({"k1": F.xxhash64(F.lit(1), text), "k2": F.xxhash64(F.lit(2), text)})
     shapes = sorted((r["size"], r["shift"]) for r in windows.select("size", "shift").distinct().collect())
-    found = rows.select("k1", "k2", "text").mapInArrow(_candidates(_bitmap(windows.select(F.col("token").alias("x"))), _bitmap(windows.select(F.col("value").alias("x"))), shapes), "k1 long, k2 long, value long, size int, start int")
+    found = rows.select("k1", "k2", text.alias("text")).mapInArrow(released(_candidates(_bitmap(windows.select(F.col("token").alias("x"))), _bitmap(windows.select(F.col("value").alias("x"))), shapes)), "k1 long, k2 long, value long, size int, start int")
     hits = scratch.save(found.distinct().join(windows.select("value", "size"), ["value", "size"], "left_semi"), "hits")
     key = ["k1", "k2"]
     spans = hits.groupBy(*key).agg(F.flatten(F.array_sort(F.collect_list(F.array("start", F.col("start") + F.col("size"))))).alias("spans"))
     items = hits.select(*key, "value", "size").distinct().join(owners, ["value", "size"]).select(*key, "item").distinct().groupBy(*key).agg(F.collect_list("item").alias("items"))
     # written, so that the join may split the partition of a text that very many rows have
     judged = scratch.save(spans.join(items, key), "judged")
-    whole = rows.mapInArrow(_numbered, T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("n_words", T.LongType())]))
+    whole = rows.mapInArrow(released(_numbered), T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("n_words", T.LongType())]))
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return whole.join(judged, key, "left").select("row", "n_words", F.coalesce("spans", none("int")).alias("spans"), F.coalesce("items", none("string")).alias("items"))
 
@@ -278,16 +280,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     An empty table gives an empty one, an empty benchmark hits nothing.
     """
     scratch = Scratch(docs.sparkSession, "decontamination")
-    rows = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = as_rows(docs)
     texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
-    cut = scratch.save(texts.mapInArrow(_cut(slot_counts(docs, texts), window), _WINDOWS), "cut")
+    cut = scratch.save(texts.mapInArrow(released(_cut(slot_counts(docs, texts), window)), _WINDOWS), "cut")
     windows = scratch.save(cut.groupBy("value", "size").agg(F.min(F.struct("token", "shift")).alias("t")).select("value", "size", "t.token", "t.shift"), "windows")
     owners = scratch.save(cut.select("value", "size", "item").distinct(), "owners")
     scratch.drop(cut)
     size = 24 * windows.count() + (owners.agg(F.sum(F.octet_length("item") + 64)).first()[0] or 0)
     if size <= INDEX_BYTES:
         schema = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
-        found = rows.mapInArrow(_matched(index_of(windows.toArrow(), owners.toArrow())), schema)
+        found = rows.mapInArrow(released(_matched(index_of(windows.toArrow(), owners.toArrow()))), schema)
         scratch.close()
     else:
         found = _joined(rows, windows, owners, scratch)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
+from .memory import released, released_group
 from .scratch import Scratch
 
 SAMPLE_ROWS = 16_384
@@ -289,7 +290,7 @@ def _links_of(own: DataFrame, n: int, dims: int, kind: str, cosine: float, recal
     units = _matrix(sample["vec"], kind)
     centres = apart(spherical_kmeans(units, k), cosine)
     margin = reach(cosine) if recall is None else fitted_margin(units, centres, cosine, recall)
-    placed = own.mapInArrow(_assigned(centres.astype(np.float32), margin, kind), "node long, copies long, vec binary, home int, seen array<int>")
+    placed = own.mapInArrow(released(_assigned(centres.astype(np.float32), margin, kind)), "node long, copies long, vec binary, home int, seen array<int>")
     placed = scratch.save(placed, "placed")
     # MOST_CELLS rows at most
     cells = placed.select("home", F.explode(F.concat(F.array("home"), "seen")).alias("cell")).groupBy("cell").agg(F.count("*").alias("rows"), F.sum((F.col("home") == F.col("cell")).cast("long")).alias("members")).collect()
@@ -298,8 +299,8 @@ def _links_of(own: DataFrame, n: int, dims: int, kind: str, cosine: float, recal
         members[r.cell], guests[r.cell] = r.members, r.rows - r.members
     most = max(BLOCK, min(GROUP_BYTES // (8 * dims), int((members + guests).sum()) // LEAST_GROUPS))
     group, split = grouped(chained(centres), members, guests, most)
-    dealt = placed.mapInArrow(_dealt(group, split), "task long, block int, node long, copies long, home int, seen array<int>, vec binary")
-    found = scratch.save(dealt.groupBy("task").applyInArrow(_linked(cosine, kind, group, split), "node long, links long, low long"), "links")
+    dealt = placed.mapInArrow(released(_dealt(group, split)), "task long, block int, node long, copies long, home int, seen array<int>, vec binary")
+    found = scratch.save(dealt.groupBy("task").applyInArrow(released_group(_linked(cosine, kind, group, split)), "node long, links long, low long"), "links", "node")
     scratch.drop(placed)
     return found
 
@@ -322,7 +323,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float | None =
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     kind = "<f4" if element == "float" else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), (F.col("embedding") if element in ("float", "double") else F.col("embedding").cast("array<double>")).alias("embedding"))
-    rows = rows.mapInArrow(_prepared, _DDL)
+    rows = rows.mapInArrow(released(_prepared), _DDL)
     named = rows.where("d1 is not null").groupBy("dims", "d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
     classes = scratch.save(named.withColumn("node", F.monotonically_increasing_id()), "classes")
     parts = [

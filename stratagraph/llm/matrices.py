@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import released_group
 from .packing import dealt
 
 
@@ -129,7 +130,7 @@ def token_matrices(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     """
     rows = dealt(docs, tokenizer, capacity, end_id, stored, pad_id)
     ddl = "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, n_tokens int, ids binary, position_ids binary"
-    return rows.groupBy("pack_group").applyInArrow(_matrix(capacity, pad_id, stored), ddl)
+    return rows.groupBy("pack_group").applyInArrow(released_group(_matrix(capacity, pad_id, stored)), ddl)
 
 
 _FILES = "part long, windows long, n_tokens long, ids_crc32 long, cu_seqlens_crc32 long"
@@ -173,7 +174,7 @@ def write_matrices(matrices: DataFrame, folder: str, capacity: int = 2048, store
     """
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    rows = matrices.withColumn("part", F.shiftright("sequence_id", 32)).groupBy("part").applyInArrow(_written(folder), _FILES)
+    rows = matrices.withColumn("part", F.shiftright("sequence_id", 32)).groupBy("part").applyInArrow(released_group(_written(folder)), _FILES)
     spark = matrices.sparkSession
     rows.write.mode("overwrite").parquet(f"{folder}/parts")
     layout = {"capacity": capacity, "ids": stored, "positions": "<u2" if capacity <= 65536 else "<u4", "cu_seqlens": "<i4"}

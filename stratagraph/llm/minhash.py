@@ -9,13 +9,19 @@
    (prefix filter), so a passage that thousands of documents quote makes no
    long list. At the threshold fewer shared values have a probability below ``MISS``.
 3. A list is not expanded into pairs. All members of a list meet its least member,
-   the pivot. Lists whose other members are not all linked to one pivot form
-   clusters; the members of a cluster outside its largest group meet all
-   others in blocks, one pair of blocks a task, which gives an edge per
-   linked document, never the pairs.
-4. Pairs of step 3's first half pass the union-sketch estimate; all links are
+   the pivot. Classes in lists whose other members are not all linked to one pivot are
+   then listed anew, by the rarest shingles of their full sets: a pair at the threshold
+   shares one of the rarest ``n - ceil(t * n) + 1`` of each, so documents that only have
+   a template in common leave each other's lists. These lists have their pivots too.
+4. Classes that still share a list but no pivot form clusters; the members of a cluster
+   outside its largest group meet all others in blocks, one pair of blocks a
+   task, which gives an edge per linked document, never the pairs.
+5. Pairs with pivots pass the union-sketch estimate; all links are
    verified by the exact Jaccard value of the full sets.
 
+With ``exact``, step 2 lists all classes by their full sets, and no pair is left to
+chance or to the estimate.
+
 Texts cross the network once, and only sets of classes in lists are written.
 """
 
@@ -31,18 +37,19 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
+from .memory import released, released_group
 from .scratch import Scratch
 
 SKETCH = 32
 #: Probability with which a pair right at the threshold may share fewer sketch values than asked for.
 MISS = 1e-6
 #: Classes, and shingles, of one block.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 #: Shingles that one product of a block counts.
 COLUMNS = 4096
 
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 _DDL = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>"
 
 
@@ -93,7 +100,8 @@ def _sets(words: int):
                 held.append(s)
                 size += len(s)
                 if size >= 1 << 19 or i == len(ids) - 1:
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)), _lists(held)], schema=_SETS)
+                    own = [int(wordhash.mix(x.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in held]
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)), pa.array(own, pa.int64()), pa.array([len(x) for x in held], pa.int64()), _lists(held)], schema=_SETS)
                     at, held, size = i + 1, [], 0
 
     return run
@@ -125,6 +133,19 @@ def _index(classes: DataFrame, scratch: Scratch, num: int, den: int) -> DataFram
     return scratch.save(rows, "lists")
 
 
+def _prefixes(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """members (c, n) -> (v, c, n): classes in the lists of the rarest shingles of their full sets; lists of one are gone."""
+    own = members.select("c").join(sets.withColumnRenamed("doc_id", "c"), "c")
+    # rows that share a doc_id have several sets
+    values = own.select("c", "own", "n", F.explode("shingles").alias("v"))
+    common = scratch.save(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    ranked = values.join(common, "v").groupBy("c", "own", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    # shingles that no other class has are the rarest, so they fill the prefix first
+    take = (F.col("n") - F.ceil(F.col("n") * num / den) + 1) - (F.col("n") - F.size("vs"))
+    rows = ranked.where(take > 0).select("c", "n", F.explode(F.slice("vs", 1, take.cast("int"))).alias("e")).select("e.v", "c", "n")
+    return scratch.save(rows, "prefixes")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Keep pairs (a, b) whose share of matches among the least values of the union allows the threshold."""
     left = classes.select(F.col("c").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
@@ -207,51 +228,71 @@ def _marked(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(marked.join(scratch.save(live, "live"), "v"), "open")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 100) -> DataFrame:
+def _labels(links: DataFrame) -> DataFrame:
+    """links (a: pivot, b) -> (node, component): nodes with one component are linked to it, which is all that the next step needs to know."""
+    ends = links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")))
+    return ends.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 100, exact: bool = False) -> DataFrame:
     """docs (doc_id long, text string, ...) -> (doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
     Documents with ``den * |A & B| >= num * |A | B|`` over their sets of distinct
-    ``words``-word shingles are linked; component_id is the least doc_id that
+    ``words``-word shingles are linked, ties included; component_id is the least doc_id that
     links reach. Words are lower-cased (A-Z) runs of bytes other than ASCII
     white space. Fewer words: the whole sequence is the one shingle. Null,
     empty or blank texts: no shingles, no links, kept. Rows that repeat a
     doc_id are one document with all their sets; each comes out, under its component. A null doc_id is its own
     component and kept, with no part in links. An empty table gives an empty
-    one; other columns are ignored, whatever their names.
+    one; other columns are ignored, whatever their names. A pair right at the threshold is missed with a
+    probability below ``MISS``; with ``exact`` none is, at the cost of listing full sets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = scratch.save(docs.mapInArrow(_sketches(words), _DDL), "sketches")
+    base = scratch.save(docs.mapInArrow(released(_sketches(words)), _DDL), "sketches")
     named = base.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("c"), F.first("sketch").alias("sketch"))
     classes = scratch.save(classes.withColumnRenamed("n_shingles", "n"), "classes")
-    lists = _index(classes, scratch, num, den)
-    heads = lists.groupBy("v").agg(F.min(F.struct("c", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    heads = scratch.save(heads.select("v", F.col("head.c").alias("a"), F.col("head.n").alias("na")), "pivots")
-    met = lists.join(heads, "v")
-    wanted = met.select(F.col("c").alias("doc_id")).distinct()
-    sets = scratch.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
-    pairs = met.where(f"c <> a and {den} * least(n, na) >= {num} * greatest(n, na)").select("a", F.col("c").alias("b")).distinct()
-    close = scratch.save(_estimated(pairs, classes, num, den), "close")
-    links = scratch.save(_verified(close, sets, num, den), "links")
-
-    # classes that share a pivot are connected, which is all that the next step needs to know
-    known = links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")))
-    # what a pivot met is settled, so it leaves its lists
-    rest = _marked(met.where("c <> a").select("v", "c", "n"), known.groupBy("node").agg(F.min("component").alias("component")), scratch)
-    if rest.isEmpty():
-        more = None
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return scratch.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(released(_sets(words)), "doc_id long, own long, n long, shingles array<long>"), "sets")
+
+    def met_pivots(lists: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(lists with their pivots, links with pivots)."""
+        heads = lists.groupBy("v").agg(F.min(F.struct("c", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
+        met = lists.join(scratch.save(heads.select("v", F.col("head.c").alias("a"), F.col("head.n").alias("na")), f"{name}-pivots"), "v")
+        pairs = met.where(f"c <> a and {den} * least(n, na) >= {num} * greatest(n, na)").select("a", F.col("c").alias("b")).distinct()
+        close = scratch.save(pairs if exact else _estimated(pairs, classes, num, den), f"{name}-close", "a")
+        return met, scratch.save(_verified(close, sets, num, den), f"{name}-links", "a")
+
+    if exact:
+        sets = sets_of(classes.select(F.col("c").alias("doc_id")))
+        lists = _prefixes(classes.select("c", "n"), sets, scratch, num, den)
     else:
+        lists = _index(classes, scratch, num, den)
+        sets = sets_of(lists.select(F.col("c").alias("doc_id")).distinct())
+    met, links = met_pivots(lists, "first")
+    # what a pivot met is settled, so it leaves its lists
+    rest = _marked(met.where("c <> a").select("v", "c", "n"), _labels(links), scratch)
+    found = not rest.isEmpty()
+    if found and not exact:
+        again = _prefixes(rest.select("c", "n").distinct(), sets, scratch, num, den)
+        again = _marked(again, _labels(links), scratch).select("v", "c", "n")
+        met, more = met_pivots(again, "second")
+        links = links.unionByName(more)
+        rest = _marked(met.where("c <> a").select("v", "c", "n"), _labels(links), scratch)
+        found = not rest.isEmpty()
+    if found:
         clusters = components(scratch, rest.select(F.col("c").alias("a"), F.col("least").alias("b")))
-        members = rest.select("c", "n", "label").distinct().join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
-        dealt = _blocks(scratch.save(members, "members"), scratch).join(sets.withColumnRenamed("doc_id", "c"), "c")
-        more = scratch.save(dealt.groupBy("cluster", "i", "j").applyInArrow(_met(num, den), "a long, b long"), "more")
-    labels = components(scratch, links if more is None else links.unionByName(more))
-    scratch.drop(sets, lists, close, heads, rest)
+        members = rest.groupBy("c", "label").agg(F.max("n").alias("n")).join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
+        dealt = _blocks(scratch.save(members, "members"), scratch).join(sets.select(F.col("doc_id").alias("c"), "shingles"), "c")
+        links = links.unionByName(scratch.save(dealt.groupBy("cluster", "i", "j").applyInArrow(released_group(_met(num, den)), "a long, b long"), "more", "a"))
+    labels = components(scratch, links)
     keys = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "c")
     keys = keys.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
     keys = scratch.save(keys, "keys")
+    scratch.drop(sets, lists, classes)
     out = base.drop("sketch").join(keys, ["n_shingles", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

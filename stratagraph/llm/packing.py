@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens, wordhash
+from .memory import released, released_group
 from .scratch import pieces_for
 
 GROUP_BYTES = 16 << 20
@@ -128,7 +129,7 @@ def dealt(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, stored: s
     if stored is not None and most > np.iinfo(stored).max:
         raise ValueError(f"id {most} does not fit {stored}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(pieces(tokenizer, capacity, end_id, stored), _PIECE_DDL)
+    rows = rows.mapInArrow(released(pieces(tokenizer, capacity, end_id, stored)), _PIECE_DDL)
     lot = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
     return rows.withColumn("pack_group", F.pmod(lot, F.lit(groups)).cast("int"))
 
@@ -146,4 +147,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     """
     rows = dealt(docs, tokenizer, capacity, end_id, stored)
     ddl = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset int"
-    return rows.groupBy("pack_group").applyInArrow(_packed(capacity), ddl)
+    return rows.groupBy("pack_group").applyInArrow(released_group(_packed(capacity)), ddl)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .memory import released, released_group
 from .scratch import pieces_for
 
 #: Input bytes (as stored) for each bucket of hashes and of documents.
@@ -284,10 +285,10 @@ def mark(plan: Plan, docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np
         docs = docs.join(F.broadcast(over), "row_key", "left")
         bucket = F.pmod(bucket + F.pmod(F.monotonically_increasing_id(), F.coalesce("over", F.lit(1))), F.lit(documents))
     keyed = docs.withColumn("doc_bucket", bucket.cast("int")).drop("over")
-    anchors = docs.select("row_key", "text").mapInArrow(_send(plan, buckets), _DDL)
-    found = anchors.groupBy("key").applyInArrow(_shared(buckets), _DDL)
-    windows = keyed.groupBy("doc_bucket").cogroup(found.groupBy("key")).applyInArrow(_extend(plan, buckets), _DDL)
-    repeats = windows.groupBy("key").applyInArrow(_resolve(buckets), _DDL)
+    anchors = docs.select("row_key", "text").mapInArrow(released(_send(plan, buckets)), _DDL)
+    found = anchors.groupBy("key").applyInArrow(released_group(_shared(buckets)), _DDL)
+    windows = keyed.groupBy("doc_bucket").cogroup(found.groupBy("key")).applyInArrow(released_group(_extend(plan, buckets)), _DDL)
+    repeats = windows.groupBy("key").applyInArrow(released_group(_resolve(buckets)), _DDL)
     length, units = plan.length, plan.units
 
     def close(table: pa.Table, marks: pa.Table) -> pa.Table:
@@ -301,4 +302,4 @@ def mark(plan: Plan, docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np
         ends = np.concatenate([[0], np.cumsum(size)])
         return finish(table, marked[np.repeat(first[place] - ends[:-1], size) + np.arange(ends[-1])], ends)
 
-    return keyed.groupBy("doc_bucket").cogroup(repeats.groupBy("key")).applyInArrow(close, schema)
+    return keyed.groupBy("doc_bucket").cogroup(repeats.groupBy("key")).applyInArrow(released_group(close), schema)

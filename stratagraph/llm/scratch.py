@@ -8,8 +8,10 @@ import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _OWN: list[str] = []
 
@@ -56,9 +58,10 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
+    def save(self, frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write a table and read it; one of few rows that many tasks make is dealt ``by`` a column first, so that it is few files."""
         path = self.path(name)
-        frame.write.parquet(path)
+        (frame.repartition(by) if by else frame).write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -85,6 +88,17 @@ def column(frame: DataFrame, name: str) -> Column:
     return frame["`" + name.replace("`", "``") + "`"]
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """docs -> (row): each row as a struct of its columns; with a ``text`` beside it only where that column is no string."""
+    row = F.struct(*(column(docs, c) for c in docs.columns)).alias("row")
+    return docs.select(row, *([] if docs.schema["text"].dataType == StringType() else [F.col("text").cast("string").alias("text")]))
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of ``as_rows``, or its column ``text``."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
 def input_bytes(frame: DataFrame) -> int:
     """What the optimiser holds for the size of the tables that a frame reads; costs no job."""
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -3,7 +3,9 @@
 score = sigmoid(w0 + sum of w_i + sum over pairs of <v_i, v_j>) over the terms of
 a text, so that an insult near a group's name can weigh more than both alone.
 Terms are lower-cased words and beginnings of words, hashed into ``TERMS`` slots, each counted once a text;
-the ``CHOSEN`` slots that tell most about the label on the training rows have weights.
+the ``CHOSEN`` slots that tell most about the label on the training rows have weights: alone, or among the
+texts that hold one of the ``BASES`` most telling slots, so that a group's name that is as common in
+clean texts is known for what it means beside an insult.
 
 The machine is fitted on the driver on ``TRAIN_ROWS`` labelled rows at most, chosen
 by a hash of doc_id and text, so fitting costs the same at any size, also where rows share an id; scoring reads
@@ -22,17 +24,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .scratch import column
+from .memory import released
+from .scratch import as_rows, text_of
 
 TERMS = 1 << 18
 #: Bytes of the beginnings of longer words that are terms too, so that a stem is known under any ending.
 PREFIXES = (4, 6)
-CHOSEN = 512
+CHOSEN = 1024
+#: Slots beside which others are tried.
+BASES = 64
 TRAIN_ROWS = 8000
 #: Texts that a term must stand in to be chosen.
 LEAST_TEXTS = 6
 #: Chi-square of a chosen term; far beyond what the best of ``TERMS`` slots reaches by chance.
 LEAST_CHI = 30.0
+#: The same beside one of ``BASES`` others, which is as many times as often tried.
+LEAST_PAIR_CHI = 36.0
 FACTORS = 4
 
 
@@ -98,6 +105,13 @@ def _without_copies(slots: list[np.ndarray], label: np.ndarray) -> tuple[list[np
     return [slots[i] for i in keep], label[keep]
 
 
+def _chi_square(seen: np.ndarray, bad: np.ndarray, n: int, n1: float) -> np.ndarray:
+    """Of each slot's presence against the label, among n texts, n1 of them with label 1; -1 for slots in too few texts or in all."""
+    expected = seen * n1 / n
+    spread = expected * (1 - n1 / n) * (1 - seen / n) + 1e-9
+    return np.where((seen >= LEAST_TEXTS) & (seen < n), (bad - expected) ** 2 / spread, -1.0)
+
+
 def fit(slots: list[np.ndarray], label: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 1e-5, seed: int = 7) -> Machine:
     """Fit on rows given as distinct term slots: log-odds weights, then full-batch Adam on the log loss."""
     column = np.full(TERMS, -1, np.int64)
@@ -111,12 +125,17 @@ def fit(slots: list[np.ndarray], label: np.ndarray, steps: int = 300, rate: floa
     seen = np.bincount(flat, minlength=TERMS).astype(float)
     bad = np.bincount(flat, label[row].astype(float), TERMS)
     n, n1 = len(label), float(label.sum())
-    # chi-square of presence against the label
-    expected = seen * n1 / n
-    spread = expected * (1 - n1 / n) * (1 - seen / n) + 1e-9
-    told = np.where(seen >= LEAST_TEXTS, (bad - expected) ** 2 / spread, -1.0)
-    best = np.argsort(-told, kind="stable")[:CHOSEN]
-    best = best[told[best] >= LEAST_CHI]
+    told = _chi_square(seen, bad, n, n1)
+    worth = np.where(told >= LEAST_CHI, told, 0.0)
+    for base in np.argsort(-told, kind="stable")[:BASES].tolist():
+        beside = np.zeros(n, bool)
+        beside[row[flat == base]] = True
+        on, m, m1 = beside[row], int(beside.sum()), float(label[beside].sum())
+        if 0 < m1 < m:
+            both = _chi_square(np.bincount(flat[on], minlength=TERMS).astype(float), np.bincount(flat[on], label[row[on]].astype(float), TERMS), m, m1)
+            worth = np.maximum(worth, np.where(both >= LEAST_PAIR_CHI, both, 0.0))
+    best = np.argsort(-worth, kind="stable")[:CHOSEN]
+    best = best[worth[best] > 0]
     column[best] = np.arange(len(best))
     x = np.zeros((n, len(best)), np.float32)
     place = column[flat]
@@ -161,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most ``rows`` pairs of numbers are broadcast
     labelled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("lot"), "toxic", "text")
-    found = labelled.mapInArrow(_features, "doc_id long, lot long, toxic int, slots array<int>").dropDuplicates(["doc_id", "lot", "toxic"])
+    found = labelled.mapInArrow(released(_features), "doc_id long, lot long, toxic int, slots array<int>").dropDuplicates(["doc_id", "lot", "toxic"])
     found = found.orderBy("lot", "doc_id", "toxic").limit(rows).select("toxic", "slots").toArrow()
     slots = [np.asarray(x.values, np.int64) for x in found["slots"]]
     return fit(slots, np.asarray(found["toxic"], np.float64))
@@ -171,15 +190,15 @@ def _scored(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(machine.scores(batch.column("text")))], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(machine.scores(text_of(batch)))], names=[*kept, "score"])
 
     return run
 
 
 def scored_rows(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs (text string, ...) -> (row, score): each row as a struct of its columns, and its score."""
-    rows = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scored(machine), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    rows = as_rows(docs)
+    return rows.mapInArrow(released(_scored(machine)), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -192,5 +211,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     """
     machine = train(docs, labels, rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = texts.mapInArrow(_scored(machine), "doc_id long, score double")
+    out = texts.mapInArrow(released(_scored(machine)), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
