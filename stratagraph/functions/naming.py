@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .paths import basename
 
+# The kinds whose names are shortened, by what their names are.
 PATH_SCOPES = ["FILE", "DIRECTORY", "MODULE"]
 MEMBERS = ["FUNCTION", "CONFIG_ARTIFACT"]
 TYPES = ["MODULE", "CLASS", "INTERFACE", "SERVICE", "PERSISTENCE_ADAPTER", "UI_MODULE", "STARTUP_POINT"]

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
+from ..schemas import SOURCE_REF
+
 
 def parse_diagnostics(parses: DataFrame) -> DataFrame:
     """One diagnostic for each parse issue, its severity by the parse's status."""
@@ -31,6 +34,25 @@ def parse_diagnostics(parses: DataFrame) -> DataFrame:
     )
 
 
+def warnings(rows: DataFrame, stage: str, phase: str, code: str, message: Column, file_path: Column, severity: str = "WARNING", scope_id: Column | None = None, entity_id: Column | None = None, **metadata: Column) -> DataFrame:
+    """A diagnostic for each row, for rules and extractors of one's own; none of ours makes any."""
+    none = F.lit(None).cast("string")
+    ref = F.struct(file_path.alias("path"), none.cast("int").alias("start_line"), none.cast("int").alias("end_line"), none.alias("snippet"), F.create_map().cast("map<string,string>").alias("metadata"))
+    return rows.select(
+        F.concat(F.lit(f"diag:{stage}:"), ids.stable_token(F.concat_ws(":", F.lit(code), file_path, message))).alias("id"),
+        F.lit(severity).alias("severity"),
+        F.lit(phase).alias("phase"),
+        F.lit(code).alias("code"),
+        message.alias("message"),
+        F.lit(False).alias("fatal"),
+        file_path.alias("file_path"),
+        (none if scope_id is None else scope_id).alias("scope_id"),
+        (none if entity_id is None else entity_id).alias("entity_id"),
+        F.when(file_path.isNotNull(), F.array(ref)).otherwise(F.array().cast(f"array<{SOURCE_REF}>")).alias("source_refs"),
+        F.to_json(F.struct(*(v.alias(k) for k, v in metadata.items()))).alias("metadata") if metadata else F.lit("{}").alias("metadata"),
+    )
+
+
 def degraded(diagnostics: DataFrame, parses: DataFrame | None = None) -> DataFrame:
     """(file_path) of files that a diagnostic over INFO or a failed parse names."""
     told = diagnostics.where(F.col("file_path").isNotNull() & ((F.col("severity") != "INFO") | F.col("fatal"))).select("file_path")

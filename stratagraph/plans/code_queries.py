@@ -9,7 +9,8 @@ from ..operators import extract, interpret, inventory, summaries, topology
 from ..parse import run as parsing
 from ..sources import virtual
 from ..workspace import Tables
-from .queries import _query
+from . import pipeline
+from .queries import _CRC32, SQL, _crc32, _query
 
 _CODE = "WITH " + virtual.CODE_SQL.strip()
 
@@ -188,3 +189,61 @@ def code_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape, _ = _topology(spark, sf_dir)
     above = shape.scopes.select(F.col("id").alias("parent_scope_id"), F.col("name").alias("parent"))
     return shape.scopes.join(above, "parent_scope_id", "left").select("kind", "name", "display_name", F.coalesce("parent", F.lit("-")).alias("parent"))
+
+
+@_query(f"""{_IMPORTS}, {_CRC32},
+files AS (SELECT path, concat('entity:file:', format('{{:x}}', {_crc32("path")})) AS file_id, concat('scope:file:', format('{{:x}}', {_crc32("path")})) AS scope_id FROM code, crc),
+ends AS (SELECT i.path, f.file_id, f.scope_id, i.label, concat('entity:external:', i.language, ':', format('{{:x}}', {_crc32("i.label")})) AS target_id FROM imports i JOIN files f ON f.path = i.path, crc)
+SELECT path, file_id, scope_id, label, target_id, concat('rel:depends-on:', format('{{:x}}', {_crc32("concat(file_id, ':', target_id, ':', label)")})) AS relationship_id FROM ends, crc""")
+def code_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, facts, tables = _facts(spark, sf_dir)
+    entities = tables.keep(facts.entities, "entities")
+    files = entities.where("kind = 'MODULE' and origin = 'OBSERVED'").select(F.col("id").alias("file_id"), F.col("name").alias("path"), "scope_id")
+    links = facts.relationships.where("kind = 'DEPENDS_ON'").select(F.col("id").alias("relationship_id"), F.col("from_entity_id").alias("file_id"), F.col("to_entity_id").alias("target_id"), "label")
+    imports = links.join(files, "file_id").join(entities.where("kind = 'MODULE'").select(F.col("id").alias("target_id")), "target_id")
+    return imports.select("path", "file_id", "scope_id", "label", "target_id", "relationship_id")
+
+
+# all that a whole index holds, by kind
+_INDEXED = f"""WITH scopes AS ({SQL["code_scopes"]}), inside AS ({SQL["code_containment"]}), depends AS ({SQL["code_dependencies"]}), roles AS ({SQL["code_roles"]}),
+facts AS ({SQL["code_entities"]}), links AS ({SQL["code_relationships"]}), files AS ({SQL["code_parses"]}),
+rows AS (
+  SELECT 'scopes' AS part, kind, count(*) AS n FROM scopes GROUP BY ALL UNION ALL SELECT 'scopes', 'FILE', count(*) FROM files UNION ALL SELECT 'scopes', 'REPOSITORY', 1
+  UNION ALL SELECT 'entities', kind, count(*) FROM facts GROUP BY ALL UNION ALL SELECT 'entities', kind, count(*) FROM roles GROUP BY ALL
+  UNION ALL SELECT 'entities', 'MODULE', count(*) FROM scopes WHERE kind IN ('MODULE', 'PACKAGE') UNION ALL SELECT 'entities', 'MODULE', 1
+  UNION ALL SELECT 'relationships', kind, sum(n) FROM links GROUP BY ALL UNION ALL SELECT 'relationships', link, count(*) FROM roles GROUP BY ALL
+  UNION ALL SELECT 'relationships', 'CONTAINS', count(*) FROM inside UNION ALL SELECT 'relationships', 'USES', count(*) FROM depends
+  UNION ALL SELECT 'diagnostics', 'INFO', 1
+)"""
+
+
+@_query(f"{_INDEXED} SELECT part, kind, CAST(sum(n) AS BIGINT) AS n FROM rows GROUP BY ALL")
+def code_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole index, assembled and validated."""
+    files = virtual.code(spark, sf_dir).select("relative_path", "size", "content")
+    result = pipeline.index(spark, files, Tables(spark, "index").root, "code")
+    pipeline.validate(result)
+    by = lambda name, key: getattr(result, name).groupBy(F.col(key).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "kind", "n")
+    return by("scopes", "kind").unionByName(by("entities", "kind")).unionByName(by("relationships", "kind")).unionByName(by("diagnostics", "severity"))
+
+
+@_query(f"""{_INDEXED}
+SELECT 'parse' AS stage, 'by_status' AS what, 'SUCCESS' AS key, CAST(count(*) AS BIGINT) AS n FROM files UNION ALL SELECT 'parse', 'by_language', language, count(*) FROM files GROUP BY ALL
+UNION ALL SELECT 'interpretation', 'entities_by_kind', kind, count(*) FROM roles GROUP BY ALL UNION ALL SELECT 'interpretation', 'relationships_by_kind', link, count(*) FROM roles GROUP BY ALL
+UNION ALL SELECT 'interpretation', 'matches_by_rule', CASE WHEN from_name LIKE 'T%' THEN 'java-backend-high-value' ELSE 'typescript-frontend-high-value' END, 2 * count(*) FROM roles GROUP BY ALL
+UNION ALL SELECT 'topology', 'scopes_by_kind', kind, count(*) FROM scopes GROUP BY ALL
+UNION ALL SELECT 'topology', 'entities_by_kind', 'MODULE', count(*) FROM scopes WHERE kind IN ('MODULE', 'PACKAGE')
+UNION ALL SELECT 'topology', 'relationships_by_kind', 'CONTAINS', count(*) FROM inside UNION ALL SELECT 'topology', 'relationships_by_kind', 'USES', count(*) FROM depends""")
+def code_stage_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, parses, facts, tables = _facts(spark, sf_dir)
+    facts = extract.Facts(*(tables.keep(getattr(facts, n), n) for n in ("scopes", "entities", "relationships")), facts.diagnostics)
+    roles, links = interpret.interpret(facts.entities)
+    shape = topology.infer(found, facts.scopes, facts.entities, facts.relationships)
+    stages = {"parse": summaries.parse_summary(parses), "interpretation": summaries.interpretation_summary(roles, links), "topology": summaries.topology_summary(shape.scopes, shape.entities, shape.relationships)}
+    out = None
+    for stage, one in stages.items():
+        for what in [c for c in one.columns if "_by_" in c or c.startswith("by_")]:
+            rows = one.select(F.lit(stage).alias("stage"), F.lit(what).alias("what"), F.explode(what).alias("key", "n"))
+            rows = rows.withColumn("n", F.col("n").cast("long"))
+            out = rows if out is None else out.unionByName(rows)
+    return out

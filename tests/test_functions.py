@@ -18,10 +18,10 @@ def test_ids_are_crc32_without_leading_zeros(spark):
 @pytest.mark.parametrize(
     "kind, name, language, shown",
     [
-        ("MODULE", "org.example.uml.NestedTypesMode", "java", "NestedTypesMode"),
-        ("CONFIG_ARTIFACT", ".github/workflows/build.yml#build", "yaml", "build"),
-        ("FUNCTION", "src/pages/game/useHintController.ts#canRequestHint", "typescript", "canRequestHint"),
-        ("CLASS", "com.example.order.OrderService", "java", "OrderService"),
+        ("MODULE", "org.sample.shapes.CircleMode", "java", "CircleMode"),
+        ("CONFIG_ARTIFACT", ".ci/flows/nightly.yml#nightly", "yaml", "nightly"),
+        ("FUNCTION", "src/screens/chess/useMoveHints.ts#canUndoMove", "typescript", "canUndoMove"),
+        ("CLASS", "net.harbour.crew.CrewService", "java", "CrewService"),
         ("ENDPOINT", "GET /a.b", "java", "GET /a.b"),
         ("CLASS", "not a.name", "typescript", "not a.name"),
         ("MODULE", "a/b/", "java", "a/b/"),
@@ -31,7 +31,7 @@ def test_entity_names(spark, kind, name, language, shown):
     assert one(spark, naming.entity_display_name(F.lit(kind), F.lit(name), F.lit(language))) == shown
 
 
-@pytest.mark.parametrize("kind, name, shown", [("DIRECTORY", "src/main/java/com/example/order", "order"), ("FILE", "a/OrderService.java", "OrderService.java"), ("PACKAGE", "com.example.order", "order"), ("REPOSITORY", "x/y", "x/y")])
+@pytest.mark.parametrize("kind, name, shown", [("DIRECTORY", "src/main/java/net/harbour/crew", "crew"), ("FILE", "a/CrewService.java", "CrewService.java"), ("PACKAGE", "net.harbour.crew", "crew"), ("REPOSITORY", "x/y", "x/y")])
 def test_scope_names(spark, kind, name, shown):
     assert one(spark, naming.scope_display_name(F.lit(kind), F.lit(name))) == shown
 

@@ -9,17 +9,17 @@ from stratagraph.parse.backends import PlainBackend, UnavailableBackend, flatten
 from stratagraph.plans import pipeline
 from stratagraph.schemas import FILES, NODES, PARSES, SNAPSHOT
 
-CONTROLLER = '''package com.example.demo;
-import com.example.shared.CustomerRepository;
-@RestController public class DemoController {
-  @GetMapping("/orders") public String getOrders() { return "ok"; }
+CONTROLLER = '''package net.harbour.dock;
+import net.harbour.crew.CrewRepository;
+@RestController public class DockController {
+  @GetMapping("/berths") public String getBerths() { return "ok"; }
 }
 '''
 REPO = {
-    "src/main/java/com/example/demo/DemoController.java": CONTROLLER,
-    "src/main/java/com/example/shared/CustomerRepository.java": "package com.example.shared;\npublic class CustomerRepository {}\n",
-    "src/main/ts/app/main.ts": "import { x } from './http-client';\n@Component export class AppComponent {}\nfunction bootstrapApplication() {}\n",
-    "src/main/ts/app/http-client.ts": "export const call = () => 1;\n",
+    "src/main/java/net/harbour/dock/DockController.java": CONTROLLER,
+    "src/main/java/net/harbour/crew/CrewRepository.java": "package net.harbour.crew;\npublic class CrewRepository {}\n",
+    "src/main/ts/app/main.ts": "import { x } from './signal-client';\n@Component export class QuayComponent {}\nfunction bootstrapQuay() {}\n",
+    "src/main/ts/app/signal-client.ts": "export const call = () => 1;\n",
     "db/schema.sql": "create table orders (id int);\nselect * from customers;\n",
     "config/app.json": '{"baseUrl": "https://api.example.org/v1"}',
     "config/application.properties": "spring.datasource.url=jdbc:postgresql://localhost:5432/app\n",
@@ -54,15 +54,15 @@ def test_inventory(spark):
 
 
 def test_endpoint_and_roles(result):
-    assert "GET /orders" in by_name(result, "ENDPOINT")
+    assert "GET /berths" in by_name(result, "ENDPOINT")
     exposes = result.relationships.where("kind = 'EXPOSES'").collect()
-    owner = by_name(result, "CLASS")["DemoController"]
+    owner = by_name(result, "CLASS")["DockController"]
     assert [r.from_entity_id for r in exposes] == [owner.id]
     assert json.loads(owner.metadata)["annotations"] == ["RestController", "GetMapping"]
     assert by_name(result, "FUNCTION")["GetMapping"].display_name == "GetMapping()"
-    assert "CustomerRepository" in by_name(result, "PERSISTENCE_ADAPTER")
-    assert "AppComponent" in by_name(result, "UI_MODULE")
-    assert {"bootstrapApplication", "AppComponent", "src/main/ts/app/main.ts"} <= set(by_name(result, "STARTUP_POINT"))
+    assert "CrewRepository" in by_name(result, "PERSISTENCE_ADAPTER")
+    assert "QuayComponent" in by_name(result, "UI_MODULE")
+    assert {"bootstrapQuay", "QuayComponent", "src/main/ts/app/main.ts"} <= set(by_name(result, "STARTUP_POINT"))
 
 
 def test_config_and_sql(result):
@@ -75,16 +75,16 @@ def test_config_and_sql(result):
 
 def test_topology(result):
     scopes = {(r.kind, r.name): r for r in result.scopes.collect()}
-    assert scopes["PACKAGE", "com.example"].parent_scope_id == scopes["PACKAGE", "com"].id
+    assert scopes["PACKAGE", "net.harbour"].parent_scope_id == scopes["PACKAGE", "net"].id
     assert scopes["DIRECTORY", "src/main"].parent_scope_id == scopes["DIRECTORY", "src"].id
     rollups = {}
     names = {r.id: r.name for r in result.entities.collect()}
     for r in result.relationships.where("metadata like '%rollup%'").collect():
         rollups.setdefault(json.loads(r.metadata)["rollup"], set()).add((names[r.from_entity_id], names[r.to_entity_id]))
-    assert ("com.example.demo", "com.example.shared") in rollups["package-package"]
-    assert ("src/main/ts/app/main.ts", "src/main/ts/app/http-client.ts") in rollups["file-internal"]
-    assert ("com", "com.example") in rollups["package-subpackage"]
-    assert ("src/main/java", "com") in rollups["module-package"]
+    assert ("net.harbour.dock", "net.harbour.crew") in rollups["package-package"]
+    assert ("src/main/ts/app/main.ts", "src/main/ts/app/signal-client.ts") in rollups["file-internal"]
+    assert ("net", "net.harbour") in rollups["package-subpackage"]
+    assert ("src/main/java", "net") in rollups["module-package"]
     assert "module-module" not in rollups
 
 
@@ -137,8 +137,8 @@ def test_tree_nesting(spark):
     again = {(r.pre, r["last"]) for r in tree.nested(nodes.drop("last")).collect()}
     assert again == {(r["pre"], r["last"]) for r in rows}
     types = nodes.where("type = 'class_declaration'")
-    assert [r.d_text for r in tree.descendants(types, nodes, ["identifier"]).orderBy("d_pre").collect()] == ["DemoController", "getOrders"]
-    assert tree.first_descendant(types, nodes, ["identifier"], "n").first().n == "DemoController"
+    assert [r.d_text for r in tree.descendants(types, nodes, ["identifier"]).orderBy("d_pre").collect()] == ["DockController", "getBerths"]
+    assert tree.first_descendant(types, nodes, ["identifier"], "n").first().n == "DockController"
     assert tree.has_descendant(types, nodes, "method_declaration").count() == 1 and tree.has_descendant(types, nodes, "nothing").isEmpty()
 
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from stratagraph.operators import extract, interpret, topology, tree
+from stratagraph.operators import assess, extract, interpret, topology, tree
 from stratagraph.parse import run as parsing
 from stratagraph.parse import runtime
 from stratagraph.parse.backends import Node, PlainBackend, Registry, Tree, UnavailableBackend
@@ -154,3 +154,12 @@ def test_unavailable_parsers_say_why(spark):
     row = parsing.parse(files(spark, {"a.java": "class A {}"}), None, backend).first()
     assert (row.status, row.issues[0].message, row.issues[0].fatal) == ("BACKEND_UNAVAILABLE", "no library", False)
     assert json.loads(json.dumps(runtime.Configuration().facts()))["enabled"] is True
+
+
+def test_own_diagnostics(spark):
+    rows = spark.createDataFrame([("a.java", "odd name"), (None, "no file")], "path string, said string")
+    made = assess.warnings(rows, "rule", "INTERPRETATION", "rule.odd", F.col("said"), F.col("path"), hint=F.lit("x"))
+    parsed = assess.parse_diagnostics(parsing.split(parsing.parse(files(spark, {"c.js": "x"})))[0])
+    every = parsed.unionByName(made)
+    assert {(r.severity, r.phase, r.file_path, len(r.source_refs)) for r in made.collect()} == {("WARNING", "INTERPRETATION", "a.java", 1), ("WARNING", "INTERPRETATION", None, 0)}
+    assert {r.file_path for r in assess.degraded(every).collect()} == {"a.java", "c.js"}
