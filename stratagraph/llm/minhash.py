@@ -9,12 +9,12 @@
    (prefix filter), so a passage that thousands of documents quote makes no
    long list. At the threshold fewer shared values have a probability below ``MISS``.
 3. A list is not expanded into pairs. All members of a list meet its least member,
-   the pivot. Classes in lists whose other members are not all linked to one pivot are
-   then listed anew, by the rarest shingles of their full sets: a pair at the threshold
+   the pivot. Classes in lists whose other members are not all linked to one pivot form
+   clusters. Those of a cluster of more than ``BLOCK`` are
+   listed anew, by the rarest shingles of their full sets: a pair at the threshold
    shares one of the rarest ``n - ceil(t * n) + 1`` of each, so documents that only have
-   a template in common leave each other's lists. These lists have their pivots too.
-4. Classes that still share a list but no pivot form clusters; the members of a cluster
-   outside its largest group meet all others in blocks, one pair of blocks a
+   a template in common leave each other's lists. These lists have their pivots too, and form clusters.
+4. The members of a cluster outside its largest group meet all others in blocks, one pair of blocks a
    task, which gives an edge per linked document, never the pairs.
 5. Pairs with pivots pass the union-sketch estimate; all links are
    verified by the exact Jaccard value of the full sets.
@@ -228,6 +228,12 @@ def _marked(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(marked.join(scratch.save(live, "live"), "v"), "open")
 
 
+def _clustered(rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """Lists (v, c, n, label, least) -> (c, label, n, cluster): classes that lists connect."""
+    clusters = components(scratch, rest.select(F.col("c").alias("a"), F.col("least").alias("b")))
+    return rest.groupBy("c", "label").agg(F.max("n").alias("n")).join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
+
+
 def _labels(links: DataFrame) -> DataFrame:
     """links (a: pivot, b) -> (node, component): nodes with one component are linked to it, which is all that the next step needs to know."""
     ends = links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")))
@@ -275,18 +281,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 1
     met, links = met_pivots(lists, "first")
     # what a pivot met is settled, so it leaves its lists
     rest = _marked(met.where("c <> a").select("v", "c", "n"), _labels(links), scratch)
-    found = not rest.isEmpty()
-    if found and not exact:
-        again = _prefixes(rest.select("c", "n").distinct(), sets, scratch, num, den)
-        again = _marked(again, _labels(links), scratch).select("v", "c", "n")
-        met, more = met_pivots(again, "second")
-        links = links.unionByName(more)
-        rest = _marked(met.where("c <> a").select("v", "c", "n"), _labels(links), scratch)
-        found = not rest.isEmpty()
-    if found:
-        clusters = components(scratch, rest.select(F.col("c").alias("a"), F.col("least").alias("b")))
-        members = rest.groupBy("c", "label").agg(F.max("n").alias("n")).join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
-        dealt = _blocks(scratch.save(members, "members"), scratch).join(sets.select(F.col("doc_id").alias("c"), "shingles"), "c")
+    if not rest.isEmpty():
+        members = scratch.save(_clustered(rest, scratch), "members")
+        large = members.groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("cluster")
+        if not exact and not large.isEmpty():
+            crowd = members.join(large, "cluster", "left_semi").select("c", "n").distinct()
+            again = _marked(_prefixes(crowd, sets, scratch, num, den), _labels(links), scratch).select("v", "c", "n")
+            met, more = met_pivots(again, "second")
+            links = links.unionByName(more)
+            rest = _marked(met.where("c <> a").select("v", "c", "n"), _labels(links), scratch)
+            members = scratch.save(members.join(large, "cluster", "left_anti").unionByName(_clustered(rest, scratch)), "members")
+        dealt = _blocks(members, scratch).join(sets.select(F.col("doc_id").alias("c"), "shingles"), "c")
         links = links.unionByName(scratch.save(dealt.groupBy("cluster", "i", "j").applyInArrow(released_group(_met(num, den)), "a long, b long"), "more", "a"))
     labels = components(scratch, links)
     keys = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "c")

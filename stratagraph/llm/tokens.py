@@ -19,8 +19,10 @@ import re
 
 import numpy as np
 
-#: Words that a process keeps; with more the cache starts anew, so its memory is bounded.
-CACHE_WORDS = 600_000
+#: Words that a process keeps; with more only those stay that the texts at hand have too, so memory is bounded and common words stay.
+CACHE_WORDS = 150_000
+#: The same for words of which only the number of tokens is kept.
+CACHE_COUNTS = 600_000
 #: Longer words are not kept.
 CACHE_CHARS = 64
 
@@ -64,9 +66,11 @@ class Encoder:
     def _bytes(encoding) -> bytes:
         return np.array(encoding.ids, "<u4").tobytes()
 
-    def _unknown(self, known: dict, words: set[str]) -> list[str]:
-        if len(known) > CACHE_WORDS:
+    def _unknown(self, known: dict, words: set[str], most: int) -> list[str]:
+        if len(known) > most:
+            kept = {w: known[w] for w in words if w in known}
             known.clear()
+            known.update(kept)
         return list(words.difference(known))
 
     def _forget(self, known: dict, words: list[str]) -> None:
@@ -111,7 +115,7 @@ class Encoder:
         for p in parts:
             if p:
                 p[0] = "\0" + p[0]
-        fresh = self._unknown(self._ids, set().union(*(p for p in parts if p)))
+        fresh = self._unknown(self._ids, set().union(*(p for p in parts if p)), CACHE_WORDS)
         self._learn(fresh)
         look = self._ids.__getitem__
         out = [b"".join(map(look, p)) if p else self._bytes(self._whole([t])[0]) for t, p in zip(texts, parts)]
@@ -123,7 +127,7 @@ class Encoder:
         if not self.parted:
             return [len(x) // 4 for x in self.encode(texts)]
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = self._unknown(self._counts, set().union(*parts))
+        fresh = self._unknown(self._counts, set().union(*parts), CACHE_COUNTS)
         self._counts.update(zip(fresh, map(len, self._whole(fresh))))
         look = self._counts.__getitem__
         out = [sum(map(look, p)) for p in parts]

@@ -53,8 +53,7 @@ def rows():
     return out + [(2000, None), (2001, ""), (2002, "two words"), (2003, "Two  WORDS"), (None, "two words")]
 
 
-@pytest.mark.parametrize("exact", [False, True])
-@pytest.mark.parametrize("num", [80, 85])
+@pytest.mark.parametrize("exact, num", [(False, 80), (True, 85)])
 def test_templates_and_chains(spark, exact, num):
     found = rows()
     sets = {i: shingles(t) for i, t in found if i is not None}

@@ -99,7 +99,7 @@ def test_op9(spark):
     for i, own in list(slots.items())[:60]:
         words = set(re.findall(rb"[a-z0-9\x80-\xff]+", docs[i].encode().lower() if docs[i].isascii() else re.sub(rb"[A-Z]", lambda m: m[0].lower(), docs[i].encode())))
         leads = {(n, w[:n]) for w in words for n in toxicity.PREFIXES if len(w) > n}
-        assert len(words) + len(leads) - 12 <= len(own) <= len(words) + len(leads)  # a few may share a slot
+        assert 0.98 * (len(words) + len(leads)) <= len(own) <= len(words) + len(leads)  # a few share a slot
     got = {r.doc_id: r for r in queries.op9_toxicity(spark, sf).collect()}
     for i in docs:
         want = plain_score(machine, slots[i])
