@@ -95,6 +95,11 @@ def inventory(files: DataFrame, options: ScanOptions | None = None) -> DataFrame
     )
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """The inventory in order of its paths, by their bytes."""
+    return rows.orderBy("relative_path")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """One row: totals, and the languages and markers of files that are not ignored."""
     own = F.when(~F.col("ignored"), F.col("candidate_technology_markers"))

@@ -12,7 +12,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import export
+from ..operators import export, inventory
 from ..schemas import DIAGNOSTICS, ENTITIES, RELATIONSHIPS, SCOPES
 from ..sources import repository
 from ..sources.repository import Source
@@ -80,7 +80,7 @@ def head(result: "Index", source: Source, version: str, started: str | None = No
 def text(result: "Index", top: dict) -> Iterator[str]:
     """The document in pieces, a row of a table at a time; facts come in order of their ids."""
     yield "{\n" + ",\n".join(f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False, sort_keys=True)}" for k, v in top.items())
-    arrays = {n: getattr(result, n).orderBy("id") for n in ARRAYS} | {"inventoryEntries": result.inventory.orderBy("relative_path")}
+    arrays = {n: getattr(result, n).orderBy("id") for n in ARRAYS} | {"inventoryEntries": inventory.in_order(result.inventory)}
     for name, frame in arrays.items():
         yield f",\n{json.dumps(name)}: ["
         for i, row in enumerate(frame.toLocalIterator(prefetchPartitions=True)):

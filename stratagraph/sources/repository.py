@@ -116,19 +116,25 @@ def write_snapshot_json(spark: SparkSession, snapshot: DataFrame, path: str, tot
     one.select(F.to_json(made, {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _snapshot_table(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.schema(SNAPSHOT).parquet(path)
+    found.isEmpty()
+    return found
+
+
+def _snapshot_json(spark: SparkSession, path: str) -> DataFrame:
+    entry = _renamed(StructType.fromDDL(SNAPSHOT)).simpleString()
+    rows = spark.read.schema(f"schemaVersion string, filesByPath map<string,{entry}>").option("multiLine", True).json(path)
+    if rows.where("filesByPath is not null").isEmpty():
+        raise ValueError("no files by path")
+    fields = [F.col(f"r.{_camel(f.name)}").cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SNAPSHOT).fields]
+    return rows.select(F.explode(F.map_values("filesByPath")).alias("r")).select(*fields)
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored snapshot, Parquet or JSON; None if there is none to read, so that all files count as added."""
+    """A stored snapshot, JSON where the path ends in .json, else Parquet; None if there is none to read, so that all files count as added."""
     try:
-        try:
-            found = spark.read.schema(SNAPSHOT).parquet(path)
-            found.isEmpty()
-            return found
-        except Exception:
-            entry = _renamed(StructType.fromDDL(SNAPSHOT)).simpleString()
-            rows = spark.read.schema(f"schemaVersion string, filesByPath map<string,{entry}>").option("multiLine", True).json(path)
-            if rows.where("filesByPath is not null").isEmpty():
-                raise ValueError("no files by path") from None
-            return rows.select(F.explode(F.map_values("filesByPath")).alias("r")).select(*(F.col(f"r.{_camel(f.name)}").cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SNAPSHOT).fields))
+        return (_snapshot_json if path.rstrip("/").endswith(".json") else _snapshot_table)(spark, path)
     except Exception as error:
         print(f"no previous snapshot at {path}: {str(error)[:200]}", file=sys.stderr)
         return None
