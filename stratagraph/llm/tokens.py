@@ -20,7 +20,7 @@ import re
 import numpy as np
 
 #: Words that a process keeps; with more only those stay that the texts at hand have too, so memory is bounded and common words stay.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 #: The same for words of which only the number of tokens is kept.
 CACHE_COUNTS = 600_000
 #: Longer words are not kept.
