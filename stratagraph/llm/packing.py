@@ -34,12 +34,12 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _PIECE_DDL = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
 
 
-def pieces(path: str, capacity: int, end_id: int, stored: str | None):
+def pieces(path: str, capacity: int, end_id: int, stored: str | None, words: int = tokens.CACHE_WORDS):
     """mapInArrow function: documents -> pieces of at most ``capacity`` ids, each document's ids followed by ``end_id``; ids in the numpy type ``stored``, or left out."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
+        encode = tokens.encoder(path, words).encode
         for batch in batches:
             ids, text = batch.column("doc_id"), batch.column("text")
             _, offsets = wordhash.buffers(text)
@@ -122,19 +122,19 @@ def _packed(capacity: int):
     return run
 
 
-def dealt(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, stored: str | None, *others: int) -> DataFrame:
+def dealt(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, stored: str | None, *others: int, words: int = tokens.CACHE_WORDS) -> DataFrame:
     """The pieces of docs with their ``pack_group``. Raises if an id does not fit ``stored``."""
     groups = pieces_for(docs, GROUP_BYTES, 1)
     most = max(tokens.largest_id(tokenizer), end_id, *others)
     if stored is not None and most > np.iinfo(stored).max:
         raise ValueError(f"id {most} does not fit {stored}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(released(pieces(tokenizer, capacity, end_id, stored)), _PIECE_DDL)
+    rows = rows.mapInArrow(released(pieces(tokenizer, capacity, end_id, stored, words)), _PIECE_DDL)
     lot = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
     return rows.withColumn("pack_group", F.pmod(lot, F.lit(groups)).cast("int"))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, stored: str | None = "<u4") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, stored: str | None = "<u4", words: int = tokens.CACHE_WORDS) -> DataFrame:
     """docs (doc_id long, text string, ...) -> (doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset), a row for each piece.
 
     ``tokenizer``: path of a tokenizers .json file. A document is its ids, without
@@ -143,8 +143,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     sequence_id lie in it one after another from offset 0 and hold at most ``capacity`` ids;
     the rest of the sequence is padding. ids: bytes of the numpy type
     ``stored``, or null without one, and ids over its range raise; ids_crc32 is of little-endian unsigned 32-bit ids in any case. Rows that repeat a doc_id, or have none, are
-    documents of their own. An empty table gives an empty one; other columns are ignored.
+    documents of their own. An empty table gives an empty one; other columns are ignored. ``words``: how many a worker
+    keeps the ids of; fewer take less memory and more time.
     """
-    rows = dealt(docs, tokenizer, capacity, end_id, stored)
+    rows = dealt(docs, tokenizer, capacity, end_id, stored, words=words)
     ddl = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset int"
     return rows.groupBy("pack_group").applyInArrow(released_group(_packed(capacity)), ddl)

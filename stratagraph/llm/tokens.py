@@ -20,7 +20,7 @@ import re
 import numpy as np
 
 #: Words that a process keeps; with more only those stay that the texts at hand have too, so memory is bounded and common words stay.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: The same for words of which only the number of tokens is kept.
 CACHE_COUNTS = 600_000
 #: Longer words are not kept.
@@ -56,6 +56,8 @@ class Encoder:
         #: white space parts words and is dropped
         self.parted = plain and '"\\\\s+"' in normal and before.get("type") == "Sequence" and before["pretokenizers"][0].get("behavior") == "Removed"
         self._pairs = _byte_pairs(made["model"]) if self.spaced else None
+        #: words whose ids are kept
+        self.most = CACHE_WORDS
         self._ids: dict[str, bytes] = {}
         self._counts: dict[str, int] = {}
 
@@ -115,7 +117,7 @@ class Encoder:
         for p in parts:
             if p:
                 p[0] = "\0" + p[0]
-        fresh = self._unknown(self._ids, set().union(*(p for p in parts if p)), CACHE_WORDS)
+        fresh = self._unknown(self._ids, set().union(*(p for p in parts if p)), self.most)
         self._learn(fresh)
         look = self._ids.__getitem__
         out = [b"".join(map(look, p)) if p else self._bytes(self._whole([t])[0]) for t, p in zip(texts, parts)]
@@ -166,8 +168,9 @@ def largest_id(path: str) -> int:
     return max([*ids, *(x["id"] for x in made.get("added_tokens") or ())], default=0)
 
 
-def encoder(path: str) -> Encoder:
-    """The process's encoder of a file."""
+def encoder(path: str, words: int = CACHE_WORDS) -> Encoder:
+    """The process's encoder of a file, which keeps the ids of ``words`` words from now on."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].most = words
     return _loaded[path]
