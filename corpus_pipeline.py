@@ -16,6 +16,8 @@ from stratagraph.llm.scratch import Scratch
 TOXIC = 0.3
 #: Documents whose Jaccard similarity over 5-word shingles is this or more (a fraction) are near copies.
 SIMILAR = (80, 100)
+#: Words that a worker keeps the ids of; workers live on through the other stages.
+KEPT_WORDS = 150_000
 #: Not expressible in SQL: fitted scores, tokenizer ids.
 ORACLE_SQL = None
 
@@ -95,7 +97,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), stored="<u2")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), stored="<u2", words=KEPT_WORDS)
 
 
 STAGES = [
