@@ -73,7 +73,7 @@ def nearest_preceding(points: DataFrame, events: DataFrame, key: str, at: str, p
 
 
 def _role(rows: DataFrame, rule: str, language: str, kind: str, suffix: str, label: str, match: Column, phase: int) -> tuple[DataFrame, DataFrame]:
-    target = ids.external_entity_id(f"interpret-{kind.lower()}", F.col("id"))
+    target = ids.inferred_entity_id(f"interpret-{kind.lower()}", F.col("id"))
     meta = F.to_json(F.struct(F.col("id").alias("sourceEntityId"), F.lit(rule).alias("ruleId"), F.lit(kind).alias("interpretedKind"), match.alias("matchType")))
     at = F.struct(F.col("ord"), F.lit(phase).alias("n"))
     values = [target, F.lit(kind), F.lit("INFERRED"), F.col("name"), F.concat("display_name", F.lit(suffix)), F.col("scope_id"), F.col("source_refs"), meta, F.col("language"), F.array().cast("array<string>"), F.lit(None).cast("string"), at]
@@ -88,7 +88,7 @@ def _endpoints(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = entities.where("kind = 'FUNCTION' and lower(language) = 'java'").withColumns({"verb": verb, "path": primary("path"), "line": primary("start_line")}).where("verb is not null")
     snippet = F.coalesce(primary("snippet"), F.lit("null"))
     rows = rows.withColumns({"method": text.http_method(F.col("verb")), "route": text.endpoint_path(snippet)})
-    target = ids.external_entity_id("interpret-endpoint", F.concat_ws(":", "id", "method", "route"))
+    target = ids.inferred_entity_id("interpret-endpoint", F.col("id"), F.col("method"), F.col("route"))
     called = F.concat_ws(" ", "method", "route")
     meta = F.to_json(F.struct(F.col("id").alias("sourceEntityId"), F.lit(JAVA_RULE).alias("ruleId"), F.col("method").alias("httpMethod"), F.col("route").alias("path"), F.lit("java").alias("sourceLanguage")))
     at = F.struct(F.col("ord"), F.lit(0).alias("n"))
@@ -101,7 +101,7 @@ def _endpoints(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     modules = entities.where("kind = 'MODULE'").select("id", "ord", F.explode(F.array_distinct(F.array("name", "display_name", F.get_json_object("metadata", "$.relativePath")))).alias("path")).where("path is not null")
     modules = modules.groupBy("path").agg(F.min_by("id", "ord").alias("module_id"))
     owned = near.join(modules, "path", "left").withColumn("owner", F.coalesce(F.when(fits, F.col("near_id")), "module_id")).where("owner is not null")
-    target = ids.external_entity_id("interpret-endpoint", F.concat_ws(":", "method_id", "method", "route"))
+    target = ids.inferred_entity_id("interpret-endpoint", F.col("method_id"), F.col("method"), F.col("route"))
     meta = F.to_json(F.struct(F.lit(JAVA_RULE).alias("ruleId"), F.lit("java").alias("sourceLanguage")))
     values = [ids.relationship_id("interpret-exposes", F.col("owner"), target, called), F.lit("EXPOSES"), F.col("owner"), target, called, F.col("source_refs"), meta, at]
     return endpoints, owned.select(*(v.alias(n) for v, n in zip(values, RELATION)))
