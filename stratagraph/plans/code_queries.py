@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..operators import extract, interpret, inventory, summaries, topology
 from ..parse import run as parsing
 from ..sources import virtual
@@ -201,7 +202,8 @@ def code_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = entities.where("kind = 'MODULE' and origin = 'OBSERVED'").select(F.col("id").alias("file_id"), F.col("name").alias("path"), "scope_id")
     links = facts.relationships.where("kind = 'DEPENDS_ON'").select(F.col("id").alias("relationship_id"), F.col("from_entity_id").alias("file_id"), F.col("to_entity_id").alias("target_id"), "label")
     imports = links.join(files, "file_id").join(entities.where("kind = 'MODULE'").select(F.col("id").alias("target_id")), "target_id")
-    return imports.select("path", "file_id", "scope_id", "label", "target_id", "relationship_id")
+    # as the SQL states them: what tells ids of one CRC32 apart is left out
+    return imports.select("path", "label", *(ids.plain(F.col(c)).alias(c) for c in ("file_id", "scope_id", "target_id", "relationship_id")))
 
 
 # all that a whole index holds, by kind
