@@ -73,6 +73,29 @@ def _scan_note(root: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+#: columns that hold ids, and the tables whose ids these are
+_ENDS = {
+    "scopes": {"id": "scopes", "parent_scope_id": "scopes"},
+    "entities": {"id": "entities", "scope_id": "scopes"},
+    "relationships": {"id": "relationships", "from_entity_id": "entities", "to_entity_id": "entities"},
+    "diagnostics": {"scope_id": "scopes", "entity_id": "entities"},
+}
+#: parts of metadata that hold ids
+_SOURCES = {"entities": ("sourceEntityId", "entities"), "relationships": ("sourceRelationshipId", "relationships")}
+
+
+def _settled(frame: DataFrame, name: str, twice: dict[str, DataFrame]) -> DataFrame:
+    """A table of the index with its ids as the index shows them."""
+    for column, of in _ENDS[name].items():
+        frame = ids.settled(frame, twice[of], column)
+    if name in _SOURCES:
+        part, of = _SOURCES[name]
+        frame = frame.withColumn("__made", F.get_json_object("metadata", f"$.{part}")).withColumn("__shown", F.col("__made"))
+        frame = ids.settled(frame, twice[of], "__shown")
+        frame = frame.withColumn("metadata", F.coalesce(F.replace("metadata", F.col("__made"), F.col("__shown")), "metadata")).drop("__made", "__shown")
+    return frame
+
+
 def index(spark: SparkSession, files: DataFrame, work: str, repository: str = "repository", acquisition: str = "LOCAL_PATH", backend: Backend | None = None, options: inventory.ScanOptions | None = None, extractors=None, rules=None, resolver=topology.default_resolver, diagnostics: DataFrame | None = None) -> Index:
     """Index a table of files. ``work``: a folder that the cluster shares, for what several steps read. ``diagnostics`` of the acquisition stand in place of the scan's own note."""
 
@@ -95,7 +118,10 @@ def index(spark: SparkSession, files: DataFrame, work: str, repository: str = "r
     all_entities = dedup.precedence_union([root, in_scope(_ordered(facts.entities, _ENTITY)), in_scope(_ordered(roles, _ENTITY)), _ordered(shape.entities, _ENTITY)], "id")
     all_relations = dedup.precedence_union([_ordered(f, _RELATION) for f in (facts.relationships, role_edges, shape.relationships)], "id")
     notes = (_scan_note(root, found) if diagnostics is None else diagnostics).unionByName(assess.parse_diagnostics(parses)).unionByName(facts.diagnostics)
-    out = {n: keep(f.drop("position"), n) for n, f in (("scopes", all_scopes), ("entities", all_entities), ("relationships", all_relations), ("diagnostics", notes))}
+    facts_of = {"scopes": all_scopes, "entities": all_entities, "relationships": all_relations}
+    facts_of = {n: keep(f.drop("position"), f"all-{n}") for n, f in facts_of.items()}
+    twice = {n: keep(ids.shared(f), f"shared-{n}") for n, f in facts_of.items()}
+    out = {n: keep(_settled(f, n, twice), n) for n, f in (facts_of | {"diagnostics": notes}).items()}
     stages = {
         "inventory": inventory.summary(found),
         "parse": summaries.parse_summary(parses),
