@@ -239,8 +239,10 @@ UNION ALL SELECT 'topology', 'relationships_by_kind', 'CONTAINS', count(*) FROM
 def code_stage_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, parses, facts, tables = _facts(spark, sf_dir)
     facts = extract.Facts(*(tables.keep(getattr(facts, n), n) for n in ("scopes", "entities", "relationships")), facts.diagnostics)
-    roles, links = interpret.interpret(facts.entities)
+    # written once, as every summary below reads them
+    roles, links = (tables.keep(f, n) for f, n in zip(interpret.interpret(facts.entities), ("roles", "links")))
     shape = topology.infer(found, facts.scopes, facts.entities, facts.relationships)
+    shape = topology.Topology(*(tables.keep(getattr(shape, n), f"shape-{n}") for n in ("scopes", "entities", "relationships")))
     stages = {"parse": summaries.parse_summary(parses), "interpretation": summaries.interpretation_summary(roles, links), "topology": summaries.topology_summary(shape.scopes, shape.entities, shape.relationships)}
     out = None
     for stage, one in stages.items():
