@@ -8,7 +8,7 @@ from stratagraph.plans import queries as plans
 
 #: Ids of each pair meet: in TypeScript entities, in imports, in what modules hold, in files, in links of roles; the last two in imports of files that are there.
 PAIRS = [(1041, 42857), (23217, 33404), (49888, 58062), (29631, 99963), (43861, 308217), (8265, 9000), (8277, 9004)]
-QUERIES = "code_entities code_ids code_index code_relationships code_summary code_dependencies code_containment code_roles code_stage_summaries".split()
+QUERIES = "code_entities code_ids code_index code_relationships code_summary code_dependencies code_containment code_roles code_stage_summaries stored_document".split()
 
 
 @pytest.fixture(scope="module")
