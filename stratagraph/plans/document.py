@@ -154,7 +154,7 @@ def write(spark: SparkSession, result: "Index", path: str, source: Source, versi
 def read(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
     """(head, tables) of a stored document; fields that are not known are left out."""
     whole = repository.read_document(spark, path)
-    tables = {n: repository.table_of(whole, n, ddl) for n, ddl in ARRAYS.items()}
+    tables = repository.document_tables(spark, path, ARRAYS)
     parts = whole.select(*(c for c in whole.columns if c not in ARRAYS)).first().asDict(recursive=True)
     return {k: json.loads(v) if isinstance(v, str) and v[:1] in "{[" else v for k, v in parts.items()}, tables
 

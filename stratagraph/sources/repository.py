@@ -89,10 +89,58 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
 
 def table_of(document: DataFrame, name: str, ddl: str) -> DataFrame:
     """One array of a document as a table with our names; absent arrays are empty."""
-    rows = document.select(F.explode(name).alias("r")).select("r.*")
+    return _ours(document.select(F.explode(name).alias("r")), ddl)
+
+
+def _ours(facts: DataFrame, ddl: str) -> DataFrame:
+    rows = facts.select("r.*")
     return rows.select(*(F.col(_camel(f.name)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl).fields))
 
 
+#: More lines without a fact than a document of one fact a line has.
+_MARKS = 64
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, line): the lines of a text by their first bytes, which do not depend on how it is split."""
+    kinds = ("org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
+    return spark.createDataFrame(spark.sparkContext.newAPIHadoopFile(path, *kinds), "at long, line string", verifySchema=False)
+
+
+def _places(lines: DataFrame, names: list[str]) -> dict[str, tuple[int, int]] | None:
+    """Between which lines the facts of each array stand in a document of one fact a line, as ``document.write`` makes them; None for other layouts."""
+    line = F.col("line")
+    fact = line.startswith("{") & (line.endswith("}") | line.endswith("},") | line.endswith("}]") | line.endswith("}],"))
+    marks = sorted(tuple(r) for r in lines.where(~fact).select("at", F.substring(line, 1, 200)).limit(_MARKS).collect())
+    if not 2 <= len(marks) < _MARKS or marks[0] != (0, "{") or marks[-1][1] != "}" or not all(m.startswith('"') for _, m in marks[1:-1]):
+        return None
+    places = {}
+    for (at, mark), (end, _) in zip(marks[1:-1], marks[2:]):
+        name, _, rest = mark[1:].partition('": ')
+        if name in names:
+            if name in places or rest not in ("[", "[]", "[],"):
+                return None
+            places[name] = (at, end)
+    return places
+
+
+def document_tables(spark: SparkSession, path: str, arrays: dict[str, str]) -> dict[str, DataFrame]:
+    """The arrays of a stored document as tables. One fact a line is read in parallel, a line at a time; a document of another layout is read as one row, which one task must hold."""
+    lines = _lines(spark, path)
+    places = _places(lines, list(arrays))
+    if places is None:
+        whole = read_document(spark, path)
+        return {n: table_of(whole, n, ddl) for n, ddl in arrays.items()}
+    out = {}
+    for name, ddl in arrays.items():
+        at, end = places.get(name, (0, 0))
+        own = lines.where((F.col("at") > at) & (F.col("at") < end))
+        facts = F.from_json(F.concat(F.lit("["), F.regexp_replace("line", r"\]?,?\z", ""), F.lit("]")), ArrayType(_renamed(StructType.fromDDL(ddl))))
+        bad = F.raise_error(F.concat(F.lit(f"{path}: no fact at byte "), F.col("at").cast("string")))
+        out[name] = _ours(own.select(F.explode(F.coalesce(facts, bad)).alias("r")), ddl)
+    return out
+
+
 def _camel(name: str) -> str:
     return re.sub(r"_(\w)", lambda m: m.group(1).upper(), name)
 
