@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
+from .. import workspace
 from ..operators import export, inventory
 from ..schemas import DIAGNOSTICS, ENTITIES, RELATIONSHIPS, SCOPES
 from ..sources import repository
@@ -37,14 +39,38 @@ def _one(frame: DataFrame) -> dict:
     return {camel(k): v for k, v in row.asDict(recursive=True).items()} if row else {}
 
 
-def fact(row: dict) -> dict:
-    """A table's row as a document holds it: names in camel case, metadata as an object."""
-    out = {camel(k): v for k, v in row.items()}
-    if "sourceRefs" in out:
-        out["sourceRefs"] = [{camel(k): v for k, v in r.items()} for r in out["sourceRefs"] or []]
-    if isinstance(out.get("metadata"), str):
-        out["metadata"] = json.loads(out["metadata"])
-    return out
+def _shown(value: Column, kind: DataType) -> Column:
+    """A value with its fields under their names in documents, fields and keys in order."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: camel(f.name))
+        return F.when(value.isNotNull(), F.struct(*(_shown(value[f.name], f.dataType).alias(camel(f.name)) for f in fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _shown(x, kind.elementType))
+    return F.map_from_entries(F.array_sort(F.map_entries(value))) if isinstance(kind, MapType) else value
+
+
+def _compact(text):  # without hints, which Spark would take for the kind of UDF
+    return "null" if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def lines(frame: DataFrame) -> DataFrame:
+    """(value): each row as a document holds it, one line: names in camel case and in order, metadata as an object. Made by tasks, in the order of the rows."""
+    values = {camel(f.name): _shown(F.col(f.name), f.dataType) for f in sorted(frame.schema, key=lambda f: camel(f.name))}
+    if "sourceRefs" in values:
+        values["sourceRefs"] = F.coalesce("source_refs", F.array().cast(frame.schema["source_refs"].dataType))
+        values["sourceRefs"] = _shown(values["sourceRefs"], frame.schema["source_refs"].dataType)
+    whole = "metadata" if "metadata" in values and isinstance(frame.schema["metadata"].dataType, StringType) else None
+
+    def part(names: list[str]) -> list[Column]:
+        made = F.to_json(F.struct(*(values[n].alias(n) for n in names)), {"ignoreNullFields": "false"})
+        return [F.substr(made, F.lit(2), F.length(made) - 2)] if names else []
+
+    if whole is None:
+        parts = part(list(values))
+    else:
+        own = F.concat(F.lit(f'"{whole}":'), F.udf(_compact, "string")(F.col(whole)))
+        parts = [*part([n for n in values if n < whole]), own, *part([n for n in values if n > whole])]
+    return frame.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
 
 
 def source_part(source: Source, acquired: str) -> dict:
@@ -77,14 +103,13 @@ def head(result: "Index", source: Source, version: str, started: str | None = No
     }
 
 
-def text(result: "Index", top: dict) -> Iterator[str]:
-    """The document in pieces, a row of a table at a time; facts come in order of their ids."""
+def text(result: "Index", top: dict) -> Iterator[str | DataFrame]:
+    """The document in pieces, texts and tables of lines; facts come in order of their ids."""
     yield "{\n" + ",\n".join(f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False, sort_keys=True)}" for k, v in top.items())
     arrays = {n: getattr(result, n).orderBy("id") for n in ARRAYS} | {"inventoryEntries": inventory.in_order(result.inventory)}
     for name, frame in arrays.items():
         yield f",\n{json.dumps(name)}: ["
-        for i, row in enumerate(frame.toLocalIterator(prefetchPartitions=True)):
-            yield (",\n" if i else "\n") + json.dumps(fact(row.asDict(recursive=True)), ensure_ascii=False, sort_keys=True)
+        yield lines(frame)
         yield "]"
     yield "\n}\n"
 
@@ -93,30 +118,56 @@ def manifest_path(path: str) -> str:
     return (path[: -len(".json")] if path.endswith(".json") else path) + ".manifest.json"
 
 
-def _put(spark: SparkSession, path: str, pieces: Iterator[str]) -> tuple[int, str]:
-    """Write text by Spark's file systems -> (bytes, SHA-256). The file has its name only once it is whole."""
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    target, own = at(path), at(path + ".part")
-    files, sha, size = target.getFileSystem(spark._jsc.hadoopConfiguration()), hashlib.sha256(), 0
-    stream, held = files.create(own, True), []
+#: What stands between two facts.
+_BETWEEN = ",\n"
+
+
+def _parts(spark: SparkSession, rows: DataFrame, folder: str) -> Iterator[tuple]:
+    """(file system, file, bytes that count): lines that tasks have written below ``folder``, in order and without what would stand after the last one. A file is deleted once the next is asked for."""
+    rows.write.option("lineSep", _BETWEEN).text(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {f.getPath().getName(): f for f in files.listStatus(at) if f.getPath().getName().startswith("part-") and f.getLen()}
+    names = sorted(found, key=lambda n: (len(n), n))
+    for name in names:
+        yield files, found[name].getPath(), found[name].getLen() - (len(_BETWEEN) if name == names[-1] else 0)
+        files.delete(found[name].getPath(), False)
+    workspace.remove(spark, folder)
 
-    def flush() -> None:
-        stream.write(bytearray("".join(held).encode()))
-        held.clear()
 
-    for piece in pieces:
+def _put(spark: SparkSession, path: str, pieces: Iterator[str | DataFrame], work: str | None = None) -> tuple[int, str]:
+    """Write texts and tables of lines by Spark's file systems -> (bytes, SHA-256). Tasks write the lines below ``work``, and no line passes through Python here. The file has its name only once it is whole."""
+    java = spark._jvm
+    at = java.org.apache.hadoop.fs.Path
+    target, own = at(path), at(path + ".part")
+    files, sha, size = target.getFileSystem(spark._jsc.hadoopConfiguration()), java.java.security.MessageDigest.getInstance("SHA-256"), 0
+    stream = java.java.security.DigestOutputStream(files.create(own, True), sha)
+
+    def say(piece: str) -> int:
         raw = piece.encode()
-        sha.update(raw)
-        size += len(raw)
-        held.append(piece)
-        if len(held) == 1000:
-            flush()
-    flush()
-    stream.close()
+        stream.write(bytearray(raw))
+        return len(raw)
+
+    try:
+        for piece in pieces:
+            if isinstance(piece, str):
+                size += say(piece)
+                continue
+            for n, (store, part, length) in enumerate(_parts(spark, piece, f"{workspace.shared(spark, work)}/lines-{uuid.uuid4().hex}")):
+                size += say("" if n else "\n")
+                source = store.open(part)
+                try:
+                    if java.org.apache.commons.io.IOUtils.copyLarge(source, stream, 0, length) != length:
+                        raise OSError(f"{part.toString()} is too short")
+                finally:
+                    source.close()
+                size += length
+    finally:
+        stream.close()
     files.delete(target, False)
     if not files.rename(own, target):
         raise OSError(f"cannot write {path}")
-    return size, sha.hexdigest()
+    return size, bytes(sha.digest()).hex()
 
 
 def manifest(top: dict, counts: dict[str, int], file_name: str, size: int, sha256: str, producer: str) -> dict:
@@ -144,7 +195,7 @@ def write(spark: SparkSession, result: "Index", path: str, source: Source, versi
 
     top = head(result, source, version, started)
     pipeline.validate(result, top)
-    size, sha = _put(spark, path, text(result, top))
+    size, sha = _put(spark, path, text(result, top), result.work)
     counts = {n: getattr(result, n).count() for n in ARRAYS}
     made = manifest(top, counts, path.rsplit("/", 1)[-1], size, sha, version)
     _put(spark, manifest_path(path), iter([preview(made)]))
@@ -153,10 +204,7 @@ def write(spark: SparkSession, result: "Index", path: str, source: Source, versi
 
 def read(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
     """(head, tables) of a stored document; fields that are not known are left out."""
-    whole = repository.read_document(spark, path)
-    tables = repository.document_tables(spark, path, ARRAYS)
-    parts = whole.select(*(c for c in whole.columns if c not in ARRAYS)).first().asDict(recursive=True)
-    return {k: json.loads(v) if isinstance(v, str) and v[:1] in "{[" else v for k, v in parts.items()}, tables
+    return repository.document_parts(spark, path, ARRAYS)
 
 
 def sample(producer: str) -> dict:

@@ -33,6 +33,8 @@ class Index:
     degraded: DataFrame
     #: one row each, of the inventory and the stages
     summaries: dict[str, DataFrame]
+    #: the folder of what several steps read
+    work: str | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {"scopes": self.scopes, "entities": self.entities, "relationships": self.relationships, "diagnostics": self.diagnostics, "assessment": self.assessment}
@@ -129,7 +131,7 @@ def index(spark: SparkSession, files: DataFrame, work: str, repository: str = "r
         "interpretation": summaries.interpretation_summary(roles, role_edges),
         "topology": summaries.topology_summary(shape.scopes, shape.entities, shape.relationships),
     }
-    return Index(found, parses, **out, assessment=keep(assess.assess(found, parses, out["diagnostics"]), "assessment"), omitted=assess.omitted(found), degraded=assess.degraded(out["diagnostics"], parses), summaries=stages)
+    return Index(found, parses, **out, assessment=keep(assess.assess(found, parses, out["diagnostics"]), "assessment"), omitted=assess.omitted(found), degraded=assess.degraded(out["diagnostics"], parses), summaries=stages, work=work)
 
 
 def validate(result: Index, head: dict | None = None) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import subprocess
 import sys
@@ -97,23 +98,29 @@ def _ours(facts: DataFrame, ddl: str) -> DataFrame:
     return rows.select(*(F.col(_camel(f.name)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl).fields))
 
 
-#: More lines without a fact than a document of one fact a line has.
-_MARKS = 64
+#: More lines without a fact than a document of one fact a line has, and more characters than such a line has by which it is read here.
+_MARKS, _MARK = 64, 1 << 16
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(at, line): the lines of a text by their first bytes, which do not depend on how it is split."""
+def _lines(spark: SparkSession, path: str, at: int = -1, end: int = sys.maxsize) -> DataFrame:
+    """(at, line): the lines of a text between two places, by their first bytes, which do not depend on how it is split."""
     kinds = ("org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-    return spark.createDataFrame(spark.sparkContext.newAPIHadoopFile(path, *kinds), "at long, line string", verifySchema=False)
+    found = spark.sparkContext.newAPIHadoopFile(path, *kinds).filter(lambda r: at < r[0] < end)
+    return spark.createDataFrame(found, "at long, line string", verifySchema=False)
 
 
-def _places(lines: DataFrame, names: list[str]) -> dict[str, tuple[int, int]] | None:
-    """Between which lines the facts of each array stand in a document of one fact a line, as ``document.write`` makes them; None for other layouts."""
+def _marks(spark: SparkSession, path: str) -> list[tuple[int, str]] | None:
+    """The lines without a fact of a document of one fact a line, as ``document.write`` makes them; None for other layouts."""
     line = F.col("line")
     fact = line.startswith("{") & (line.endswith("}") | line.endswith("},") | line.endswith("}]") | line.endswith("}],"))
-    marks = sorted(tuple(r) for r in lines.where(~fact).select("at", F.substring(line, 1, 200)).limit(_MARKS).collect())
+    marks = sorted(tuple(r) for r in _lines(spark, path).where(~fact).select("at", F.substring(line, 1, _MARK + 1)).limit(_MARKS).collect())
     if not 2 <= len(marks) < _MARKS or marks[0] != (0, "{") or marks[-1][1] != "}" or not all(m.startswith('"') for _, m in marks[1:-1]):
         return None
+    return marks
+
+
+def _places(marks: list[tuple[int, str]], names: list[str]) -> dict[str, tuple[int, int]] | None:
+    """Between which lines the facts of each array stand; None where an array does not begin on a line of its own."""
     places = {}
     for (at, mark), (end, _) in zip(marks[1:-1], marks[2:]):
         name, _, rest = mark[1:].partition('": ')
@@ -124,21 +131,47 @@ def _places(lines: DataFrame, names: list[str]) -> dict[str, tuple[int, int]] |
     return places
 
 
-def document_tables(spark: SparkSession, path: str, arrays: dict[str, str]) -> dict[str, DataFrame]:
-    """The arrays of a stored document as tables. One fact a line is read in parallel, a line at a time; a document of another layout is read as one row, which one task must hold."""
-    lines = _lines(spark, path)
-    places = _places(lines, list(arrays))
+_PARTS = ["schemaVersion", "indexerVersion", "runMetadata", "source", "completeness", "metadata"]
+
+
+def _head(marks: list[tuple[int, str]]) -> dict | None:
+    """The parts of a document that stand on lines of their own; None if a line is too long, or not whole."""
+    found = dict.fromkeys(_PARTS)
+    for _, mark in marks[1:-1]:
+        if mark.partition('": ')[2] in ("[", "[]", "[],"):
+            continue
+        try:
+            parts = json.loads("{" + mark.removesuffix(",") + "}") if len(mark) <= _MARK else None
+        except ValueError:
+            parts = None
+        if parts is None:
+            return None
+        found |= {k: v if v is None or isinstance(v, (str, dict, list)) else json.dumps(v) for k, v in parts.items() if k in found}
+    return found
+
+
+def document_parts(spark: SparkSession, path: str, arrays: dict[str, str]) -> tuple[dict, dict[str, DataFrame]]:
+    """(head, tables) of a stored document. One fact a line is read in parallel, a line at a time; a document of another layout is read as one row, which one task must hold."""
+    marks = _marks(spark, path)
+    places = marks and _places(marks, list(arrays))
+    whole, head = read_document(spark, path), _head(marks) if places is not None else None
+    if head is None:
+        parts = whole.select(*_PARTS).first().asDict(recursive=True)
+        head = {k: json.loads(v) if isinstance(v, str) and v[:1] in "{[" else v for k, v in parts.items()}
     if places is None:
-        whole = read_document(spark, path)
-        return {n: table_of(whole, n, ddl) for n, ddl in arrays.items()}
+        return head, {n: table_of(whole, n, ddl) for n, ddl in arrays.items()}
     out = {}
     for name, ddl in arrays.items():
-        at, end = places.get(name, (0, 0))
-        own = lines.where((F.col("at") > at) & (F.col("at") < end))
+        own = _lines(spark, path, *places.get(name, (0, 0)))
         facts = F.from_json(F.concat(F.lit("["), F.regexp_replace("line", r"\]?,?\z", ""), F.lit("]")), ArrayType(_renamed(StructType.fromDDL(ddl))))
         bad = F.raise_error(F.concat(F.lit(f"{path}: no fact at byte "), F.col("at").cast("string")))
         out[name] = _ours(own.select(F.explode(F.coalesce(facts, bad)).alias("r")), ddl)
-    return out
+    return head, out
+
+
+def document_tables(spark: SparkSession, path: str, arrays: dict[str, str]) -> dict[str, DataFrame]:
+    """The arrays of a stored document as tables."""
+    return document_parts(spark, path, arrays)[1]
 
 
 def _camel(name: str) -> str:
